@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from . import common
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A space beside white space.
+BESIDE = [p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for p in dict.fromkeys((c + " ", " " + c))]
 NEVER = np.iinfo(np.int64).max
-CACHED_WORDS, CACHED_LENGTH = 400_000, 48
+CACHED_WORDS, CACHED_CHUNKS, CACHED_LENGTH = 300_000, 600_000, 48
 
 
 def byte_chars() -> dict[str, int]:
@@ -73,10 +75,7 @@ class ByteBpe:
         for i in range(len(base), n):
             fine[i] &= fine[self.left[i]] and fine[self.right[i]]
         self.known = {self.bytes[i]: i for i in range(n) if fine[i]}
-        lengths: dict[bytes, set[int]] = {}
-        for b in self.known:
-            lengths.setdefault(b[:2], set()).add(len(b))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        self.trie()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
@@ -88,6 +87,7 @@ class ByteBpe:
         for t, i in self.special.items():
             self.by_id[i] = t.encode()
         self.cache: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.exact_words = self.new_words = 0
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
@@ -112,18 +112,100 @@ class ByteBpe:
             at, a, b, lim = at[go], a[go], b[go], lim[go]
         return ok
 
-    def greedy(self, word: bytes) -> list[int]:
-        out, at, end, known = [], 0, len(word), self.known
-        while at < end:
-            for n in self.lengths.get(word[at : at + 2], ()):
-                if (t := known.get(word[at : at + n])) is not None and at + n <= end:
-                    break
-            else:
-                n, t = 1, self.single[word[at]]
-            out.append(t)
-            at += n
+    def trie(self) -> None:
+        """Sorted (state, byte) keys of the tokens' trie, for many words at once."""
+        steps: dict[int, int] = {}
+        accept = [-1]
+        for word, t in self.known.items():
+            state = 0
+            for c in word:
+                key = state << 8 | c
+                if (to := steps.get(key)) is None:
+                    to = steps[key] = len(accept)
+                    accept.append(-1)
+                state = to
+            accept[state] = t
+        keys = np.fromiter(steps.keys(), np.int64, len(steps))
+        by = np.argsort(keys)
+        self.step_keys, self.step_to, self.accept = keys[by], np.fromiter(steps.values(), np.int64, len(steps))[by], np.array(accept, np.int64)
+
+    def greedy(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Longest matches from left to right, all words in step: (tokens, for each the number of its word), in order."""
+        text = np.frombuffer(b"".join(words) + b"\0", np.uint8).astype(np.int64)
+        end = np.cumsum([len(w) for w in words])
+        pos = np.concatenate([[0], end[:-1]]).astype(np.int64)
+        word = np.flatnonzero(end > pos)
+        pos, end = pos[word], end[word]
+        cur, state = pos.copy(), np.zeros(len(word), np.int64)
+        best, after = np.full(len(word), -1, np.int64), pos.copy()
+        toks, owners = [], []
+        while len(word):
+            key = state << 8 | text[cur]
+            i = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            on = (self.step_keys[i] == key) & (cur < end)
+            state = np.where(on, self.step_to[i], 0)
+            cur += on
+            hit = np.where(on, self.accept[state], -1)
+            found = hit >= 0
+            best, after = np.where(found, hit, best), np.where(found, cur, after)
+            if not on.all():
+                off = np.flatnonzero(~on)
+                toks.append(best[off])
+                owners.append(word[off])
+                cur[off] = after[off]
+                keep = after < end
+                keep[on] = True
+                word, end, cur, state, best, after = word[keep], end[keep], cur[keep], state[keep], best[keep], after[keep]
+        if not toks:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        owner = np.concatenate(owners)
+        by = np.argsort(owner, kind="stable")
+        return np.concatenate(toks)[by], owner[by]
+
+    def pair_makes_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The token that merging each pair makes, NEVER where none does or one is absent (-1)."""
+        out = np.full(a.shape, NEVER)
+        at = np.flatnonzero((a >= 0) & (b >= 0))
+        key = a.ravel()[at] * self.n + b.ravel()[at]
+        i = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        hit = self.pair_keys[i] == key
+        out.ravel()[at[hit]] = self.pair_makes[i[hit]]
         return out
 
+    def exact_many(self, words: list[bytes]) -> list[list[int]]:
+        """Exact merging of short words side by side: each round applies every word's first merge; leftmost first."""
+        n, width = len(words), max(map(len, words))
+        size = np.array([len(w) for w in words])
+        of = np.array([self.single[b] for b in range(256)], np.int64)
+        tok = np.full((n, width + 2), -1, np.int64)
+        inside = np.arange(width + 2) < size[:, None]
+        tok[inside] = of[np.frombuffer(b"".join(words), np.uint8)]
+        rank = self.pair_makes_of(tok[:, :-1], tok[:, 1:])
+        at, cols = np.arange(n), np.arange(width + 2)
+        done = [None] * n
+        while len(at):
+            j = rank.argmin(1)
+            v = rank[np.arange(len(at)), j]
+            over = v == NEVER
+            if over.any():
+                for i, row in zip(at[over].tolist(), tok[over].tolist()):
+                    done[i] = [t for t in row if t >= 0]
+                go = ~over
+                at, tok, rank, j, v = at[go], tok[go], rank[go], j[go], v[go]
+                if not len(at):
+                    break
+            k = np.arange(len(at))
+            src = np.minimum(cols + (cols > j[:, None]), len(cols) - 1)
+            tok = np.take_along_axis(tok, src, 1)
+            tok[:, -1] = -1
+            tok[k, j] = v
+            rank = np.take_along_axis(rank, np.minimum(src[:, :-1], len(cols) - 2), 1)
+            rank[:, -1] = NEVER
+            rank[k, j] = self.pair_makes_of(v, tok[k, j + 1])
+            i = np.flatnonzero(j > 0)
+            rank[i, j[i] - 1] = self.pair_makes_of(tok[i, j[i] - 1], v[i])
+        return done
+
     def exact(self, word: bytes) -> list[int]:
         """Merges the bytes in the order of the merges, leftmost first."""
         tok = [self.single[b] for b in word]
@@ -144,47 +226,72 @@ class ByteBpe:
                     heapq.heappush(heap, (k, x, tok[x], tok[y]))
         return [t for t in tok if t >= 0]
 
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """The ids, as little-endian 32-bit bytes, of each new word."""
-        words = list(words)
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each new word as little-endian 32-bit bytes."""
         raw = [w.encode() for w in words]
-        tokens = [self.greedy(w) for w in raw]
-        flat = np.fromiter((t for x in tokens for t in x), np.int64)
-        ends = np.cumsum([len(x) for x in tokens])
-        inner = np.ones(max(len(flat) - 1, 0), bool)
-        inner[ends[:-1] - 1] = False  # no pair across words
-        at = np.flatnonzero(inner)
+        flat, owner = self.greedy(raw)
+        at = np.flatnonzero(owner[:-1] == owner[1:])  # no pair across words
         pairs, back = np.unique(flat[at] * self.n + flat[at + 1], return_inverse=True)
-        bad = at[~self.compatible(pairs // self.n, pairs % self.n)[back]] if len(at) else at
-        for w in np.unique(np.searchsorted(ends, bad, side="right")).tolist():
-            tokens[w] = self.exact(raw[w])
-            self.exact_words += 1
+        failing = np.unique(owner[at[~self.compatible(pairs // self.n, pairs % self.n)[back]]]) if len(at) else at
+        ends = np.searchsorted(owner, np.arange(len(words)), side="right") * 4
+        ids = self.ids[flat].astype("<u4").tobytes()
+        out = [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        by_width: dict[int, list[int]] = {}
+        for w in failing.tolist():
+            by_width.setdefault(min((len(raw[w]) + 3) // 4, 9), []).append(w)
+        for width, some in by_width.items():
+            for i in range(0, len(some), 20_000):
+                part = some[i : i + 20_000]
+                exact = self.exact_many([raw[w] for w in part]) if width < 9 else [self.exact(raw[w]) for w in part]
+                for w, x in zip(part, exact):
+                    out[w] = self.ids[x].astype("<u4").tobytes()
         self.new_words += len(words)
-        flat = self.ids[np.fromiter((t for x in tokens for t in x), np.int64)].astype("<u4").tobytes()
-        ends = (np.cumsum([len(x) for x in tokens]) * 4).tolist()
-        return {w: flat[a:b] for w, a, b in zip(words, [0, *ends], ends)}
+        self.exact_words += len(failing)
+        return out
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut at each white space that surely ends a word, by way of the distinct words."""
+        if len(self.cache) > CACHED_WORDS:
+            self.cache = {}
+        cut = [self.words(p) for p in parts]
+        new = list({w for ws in cut for w in ws if w not in self.cache})
+        fresh = dict(zip(new, self.learn(new))) if new else {}
+        self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH)
+        return [b"".join([fresh.get(w) or self.cache[w] for w in ws]) for ws in cut]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[list[str] | bytes]] = []
+        """Ids of each text.
+
+        A space between two characters that aren't white space begins a word, whatever stands around them. So texts are split
+        there, and only chunks that weren't seen before go on to the pattern and the merges.
+        """
+        if len(self.chunks) > CACHED_CHUNKS:
+            self.chunks = {}
+        plan: list[list[list[str] | bytes]] = []
+        new: set[str] = set()
         for t in texts:
             if any(s in t for s in self.special):
-                parts.append([self.words(x) if x not in self.special else self.special[x].to_bytes(4, "little") for x in self.cut(t) if x])
+                pieces = [self.special[x].to_bytes(4, "little") if x in self.special else x for x in self.cut(t) if x]
             else:
-                parts.append([self.words(t)])
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
-        new: set[str] = set()
-        for p in parts:
-            for x in p:
-                if isinstance(x, list):
-                    new.update(x)
-        new -= self.cache.keys()
-        look = self.cache
-        if new:
-            found = self.learn(new)
-            look.update(found)
-        out = [b"".join([x if isinstance(x, bytes) else b"".join(map(look.__getitem__, x)) for x in p]) for p in parts]
-        for w in new:
+                pieces = [t] if t else []
+            for i, x in enumerate(pieces):
+                if isinstance(x, str):
+                    if any(p in x for p in BESIDE):  # white space beside a space: the pattern sees the whole piece
+                        chunks = [x]
+                    else:
+                        first, *rest = x.split(" ")
+                        chunks = [first, *map(" ".__add__, rest)]
+                    pieces[i] = chunks
+                    new.update(chunks)
+            plan.append(pieces)
+        new -= self.chunks.keys()
+        look = self.chunks
+        fresh = list(new)
+        for a in range(0, len(fresh), 100_000):
+            part = fresh[a : a + 100_000]
+            look.update(zip(part, self.encode_parts(part)))
+        out = [b"".join([x if isinstance(x, bytes) else b"".join(map(look.__getitem__, x)) for x in p]) for p in plan]
+        for w in fresh:
             if len(w) > CACHED_LENGTH:
                 del look[w]
         return out
