@@ -128,3 +128,11 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def drop_counted(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, total: int, size: int) -> DataFrame:
+    """The anti join that goes with join_counted."""
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(counts.select(*keys)), keys, "left_anti")
+    hot = counts.where(F.col(n) * HOT_SHARE > total).select(*keys)
+    return rows.join(F.broadcast(hot), keys, "left_anti").join(counts.where(F.col(n) * HOT_SHARE <= total).select(*keys), keys, "left_anti")
