@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, exact_dedup
+from . import bpe, common, exact_dedup, token_files
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +20,16 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.file_digest(spark, common.documents(spark, sf_dir), common.new_path(spark, "tokens"), common.tokenizer_path("word_bpe_49k.json"))
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digest(common.documents(spark, sf_dir), common.tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op9_bpe_roundtrip)}
+    return {f.__name__: f for f in (op2_exact_dedup, op7_token_files, op9_bpe_roundtrip)}
 
 
 def oracle_sql() -> dict[str, str]:
