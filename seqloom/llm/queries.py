@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, token_files
+from . import bpe, common, exact_dedup, mixing, sharding, token_files
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +21,10 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(common.documents(spark, sf_dir), 24)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.file_digest(spark, common.documents(spark, sf_dir), common.new_path(spark, "tokens"), common.tokenizer_path("word_bpe_49k.json"))
 
@@ -28,9 +33,39 @@ def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digest(common.documents(spark, sf_dir), common.tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.documents(spark, sf_dir), max_repetition=2.0, budget=1.0).withColumns({c: F.round(c, 6) for c in ("tau", "weight", "repetition")}).drop("__rid")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '0' ELSE '1' || source END AS src,
+    greatest(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')), 1)::BIGINT AS tokens FROM documents),
+s AS (SELECT src, count(*) AS n_docs, sum(tokens)::BIGINT AS tokens FROM d GROUP BY src),
+a AS (SELECT list(tokens::DOUBLE ORDER BY src) AS t, sum(tokens)::DOUBLE AS total FROM s),
+b AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi
+  UNION ALL SELECT i + 1, CASE WHEN ok THEN lo ELSE m END, CASE WHEN ok THEN m ELSE hi END FROM (
+    SELECT i, lo, hi, m, 1.0 * list_max(list_transform(t, lambda x: pow(x / total, m) / x)) * total / list_sum(list_transform(t, lambda x: pow(x / total, m))) <= 2.0 AS ok
+    FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m FROM b WHERE i < 60), a)),
+w AS (SELECT hi AS tau, total, list_sum(list_transform(t, lambda x: pow(x / total, hi))) AS z FROM b, a WHERE i = 60),
+p AS (SELECT src, tokens AS src_tokens, ceil(sqrt(n_docs))::BIGINT AS blocks, tau, pow(tokens / total, tau) / z AS weight, total * pow(tokens / total, tau) / z / tokens AS repetition FROM s, w),
+q AS (SELECT *, floor(repetition + 1e-9)::BIGINT AS passes, greatest(floor((repetition - floor(repetition + 1e-9)) * src_tokens + 1e-6), 0)::BIGINT AS rest FROM p),
+r AS (SELECT d.*, q.* EXCLUDE (src), (('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % blocks)::INTEGER AS block FROM d JOIN q USING (src)),
+k AS (SELECT src, block, sum(tokens)::BIGINT AS block_tokens, any_value(passes) AS passes, any_value(rest) AS rest FROM r GROUP BY src, block),
+e AS (SELECT *, unnest(range(0, passes + (rest > 0)::INTEGER)) AS pass FROM k),
+o AS (SELECT *, row_number() OVER v - 1 AS block_pos, sum(block_tokens) OVER v AS upto FROM e
+  WINDOW v AS (PARTITION BY src, pass ORDER BY ('0x' || substr(md5('12|' || pass || '|' || src || '|' || block), 1, 15))::BIGINT, block)),
+m AS (SELECT *, CASE WHEN pass < passes THEN block_tokens ELSE rest - upto + block_tokens END AS room FROM o),
+u AS (SELECT r.*, m.pass, m.block_pos, m.room, m.block_tokens FROM r JOIN m ON r.src = m.src AND r.block = m.block WHERE room > 0),
+c AS (SELECT *, sum(tokens) OVER (PARTITION BY src, pass, block ORDER BY ('0x' || substr(md5('13|' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS inside FROM u)
+SELECT doc_id, source, pass::INTEGER AS pass, block, block_pos::INTEGER AS block_pos, tokens, round(tau, 6) AS tau, round(weight, 6) AS weight, round(repetition, 6) AS repetition
+FROM c WHERE room >= block_tokens OR inside <= room
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op7_token_files, op9_bpe_roundtrip)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op7_token_files, op9_bpe_roundtrip, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op10_mixing": OP10_SQL}
