@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, mixing, sharding, token_files
+from . import bpe, common, exact_dedup, minhash, mixing, sharding, token_files
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.file_digest(spark, common.documents(spark, sf_dir), common.new_path(spark, "tokens"), common.tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(common.documents(spark, sf_dir))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k, any_value(a.n) AS nu, any_value(b.n) AS nv FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 75 AND b.n * 100 >= a.n * 75 GROUP BY ALL HAVING 100 * k >= 75 * (nu + nv - k)),
+e AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) ON a = doc_id
+"""
+
+
 def op9_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digest(common.documents(spark, sf_dir), common.tokenizer_path("byte_bpe_50k.json"))
 
@@ -64,8 +79,8 @@ FROM c WHERE room >= block_tokens OR inside <= room
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op7_token_files, op9_bpe_roundtrip, op10_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op10_mixing": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op8_minhash": OP8_SQL, "op10_mixing": OP10_SQL}
