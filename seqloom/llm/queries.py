@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, minhash, mixing, sharding, token_files
+from . import bpe, common, exact_dedup, html_text, minhash, mixing, sharding, telephony, token_files
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(common.documents(spark, sf_dir), 24)
 
 
+def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.digest(common.documents(spark, sf_dir))
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.file_digest(spark, common.documents(spark, sf_dir), common.new_path(spark, "tokens"), common.tokenizer_path("word_bpe_49k.json"))
 
@@ -79,7 +87,7 @@ FROM c WHERE room >= block_tokens OR inside <= room
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op4_telephony, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
