@@ -7,7 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, html_text, minhash, mixing, sharding, telephony, token_files
+from . import bpe, common, exact_dedup, html_text, minhash, mixing, sharding, span_dedup, telephony, token_files
+
+
+def op1_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = span_dedup.clean(common.documents(spark, sf_dir))
+    return out.select("doc_id", "n_units", "n_removed", F.concat_ws(",", "removed").alias("removed_units"), "text")
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ws, length(regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*')) AS lead FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS i FROM w),
+u AS (SELECT *, regexp_extract(raw, '^[^\x20\x09-\x0D]+') AS word FROM t),
+v AS (SELECT *, coalesce(lag(regexp_matches(word, '[.!?]$') OR contains(raw, chr(10))) OVER (PARTITION BY doc_id ORDER BY i), true)::INTEGER AS starts FROM u),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM v),
+p AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, sentence ORDER BY i) - 1) // 16 AS piece FROM s),
+x AS (SELECT doc_id, sentence, piece, string_agg(word, ' ' ORDER BY i) AS unit, string_agg(raw, '' ORDER BY i) AS raw, count(*) AS words FROM p GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sentence, piece) - 1 AS pos FROM x),
+r AS (SELECT doc_id, pos, unit || chr(10) || lead(unit) OVER o || chr(10) || lead(unit, 2) OVER o AS run, words + lead(words) OVER o + lead(words, 2) OVER o AS words FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) AS k FROM r WHERE run IS NOT NULL AND words >= 10),
+g AS (SELECT DISTINCT doc_id, pos + d AS pos FROM f, (SELECT unnest([0, 1, 2]) AS d) WHERE k > 1),
+y AS (SELECT n.doc_id, count(*)::INTEGER AS n_units, count(g.pos)::INTEGER AS n_removed, coalesce(string_agg(g.pos::VARCHAR, ',' ORDER BY n.pos) FILTER (g.pos IS NOT NULL), '') AS removed_units,
+  coalesce(string_agg(n.raw, '' ORDER BY n.pos) FILTER (g.pos IS NULL), '') AS text FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.pos = g.pos GROUP BY n.doc_id)
+SELECT d.doc_id, coalesce(n_units, 0) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(removed_units, '') AS removed_units,
+  CASE WHEN d.text IS NULL THEN NULL ELSE substr(d.text, 1, lead) || coalesce(y.text, '') END AS text
+FROM documents d JOIN w ON d.doc_id = w.doc_id LEFT JOIN y ON d.doc_id = y.doc_id
+"""
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +112,8 @@ FROM c WHERE room >= block_tokens OR inside <= room
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_sharding, op4_telephony, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
+    return {f.__name__: f for f in (op1_span_dedup, op2_exact_dedup, op3_sharding, op4_telephony, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op8_minhash": OP8_SQL, "op10_mixing": OP10_SQL}
+    return {"op1_span_dedup": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op8_minhash": OP8_SQL, "op10_mixing": OP10_SQL}
