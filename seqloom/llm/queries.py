@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, exact_dedup, html_text, minhash, mixing, sharding, span_dedup, telephony, token_files
+from . import bpe, common, exact_dedup, html_text, minhash, mixing, sharding, span_dedup, telephony, token_files, toxicity
 
 
 def op1_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.digest(common.documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(spark, common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -112,7 +116,7 @@ FROM c WHERE room >= block_tokens OR inside <= room
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_span_dedup, op2_exact_dedup, op3_sharding, op4_telephony, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
+    return {f.__name__: f for f in (op1_span_dedup, op2_exact_dedup, op3_sharding, op4_telephony, op5_toxicity, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
