@@ -1,12 +1,16 @@
-"""Makes this package importable for the Python workers of any cluster."""
+"""What depends on the Spark session: shipping the package to Python workers, the shared folder, size-checked broadcasts."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -28,3 +32,33 @@ def ship(spark: SparkSession) -> None:
                     z.write(p, os.path.relpath(p, os.path.dirname(root)))
     sc.addPyFile(at)
     _shipped.add(sc.applicationId)
+
+
+_local: dict[str, str] = {}
+#: Rows of a narrow table that may be sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
+    if at:
+        return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "at" not in _local:
+        _local["at"] = tempfile.mkdtemp(prefix="seqloom-")
+        atexit.register(shutil.rmtree, _local["at"], ignore_errors=True)
+    return f"file://{_local['at']}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read again, which cuts its lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/seqloom-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A written or cheap narrow table, marked for broadcast if its size allows that; else a join shuffles it."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
