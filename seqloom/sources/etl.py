@@ -33,7 +33,7 @@ def sentences(df: DataFrame, key: str = "s_id", tokens: str = "tokens") -> tuple
 
 
 def gathered(df: DataFrame, key: str, order: list[str], item: str = "item") -> DataFrame:
-    return df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, item))), lambda x: x[item]).alias("items"))
+    return df.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)], F.col(item).alias("v")))), lambda x: x["v"]).alias("items"))
 
 
 def ratings(rated: DataFrame, products: DataFrame) -> tuple[DataFrame, DataFrame]:
