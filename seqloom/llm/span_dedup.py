@@ -85,11 +85,12 @@ def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.ListArray.from_arrays(ends, flat)], ["__rid", "id", "runs"])
 
     hashed = common.written(rows.mapInArrow(hash_, f"__rid long, id {kind}, runs array<long>"), "runs")
-    runs = hashed.select("__rid", "id", F.posexplode("runs").alias("pos", "run")).where("run <> 0")
+    runs = hashed.select("__rid", F.posexplode("runs").alias("pos", "run")).where("run <> 0")  # narrow: ids follow below
     repeated = common.written(runs.groupBy("run").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
     total = repeated.agg(F.sum("k")).first()[0] or 0
     places = common.written(common.join_counted(runs, repeated, ["run"], "k", total), "places")
-    first = places.groupBy("run").agg(F.min(F.struct("id", "__rid", "pos")).alias("first"), F.count("*").alias("k"))
+    # only rows with a repeated run need their id; a row's number is unique, and its runs are as many as its units
+    first = places.join(hashed.select("__rid", "id"), "__rid").groupBy("run").agg(F.min(F.struct("id", "__rid", "pos")).alias("first"), F.count("*").alias("k"))
     first = common.written(first.select("run", "k", F.col("first.__rid").alias("rid0"), F.col("first.pos").alias("pos0")), "first")
     later = common.join_counted(places.drop("k"), first, ["run"], "k", total).where("__rid <> rid0 OR pos <> pos0")
     starts = common.written(later.groupBy("__rid").agg(F.sort_array(F.collect_set("pos")).alias("starts")), "starts")  # bounded by a document's units
@@ -106,5 +107,4 @@ def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """df with its texts cut, all other columns as they were; documents of which nothing remains go, unless they had no units."""
     done = clean(df, id_col=id_col, text_col=text_col, **options).where("n_units = 0 OR n_removed < n_units").select("__rid", F.col("text").alias("__text"))
-    rows = common.with_rid(df).join(done, "__rid").withColumn(text_col, F.col("__text"))
-    return rows.select(*df.columns)
+    return common.packed(df).join(done, "__rid").select(*[F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
