@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TAGS = ("CC CD DT EX FW IN JJ JJR JJS LS MD NN NNS NNP NNPS PDT POS PRP PRP$ RB RBR RBS RP SYM TO UH VB VBD VBG VBN VBP VBZ WDT WP WP$ WRB").split()
+TAGS = ("NN NNS NNP NNPS VB VBD VBG VBN VBP VBZ JJ JJR JJS RB RBR RBS IN DT PDT WDT PRP WP PRP$ WP$ WRB CC CD EX FW LS MD POS RP SYM TO UH").split()
 
 
 def edges(df: DataFrame, child: str, parent: str) -> DataFrame:
