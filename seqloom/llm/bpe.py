@@ -22,7 +22,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A space beside white space.
 BESIDE = [p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for p in dict.fromkeys((c + " ", " " + c))]
 NEVER = np.iinfo(np.int64).max
-CACHED_WORDS, CACHED_CHUNKS, CACHED_LENGTH = 300_000, 600_000, 48
+CACHED_WORDS, CACHED_CHUNKS, CACHED_LENGTH = 100_000, 200_000, 48
 
 
 def byte_chars() -> dict[str, int]:
@@ -301,14 +301,9 @@ class ByteBpe:
         return b"".join([by[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_models: dict[str, ByteBpe] = {}
-
-
 def model(path: str) -> ByteBpe:
-    """The model of a file, loaded once in a process."""
-    if path not in _models:
-        _models[path] = ByteBpe(path)
-    return _models[path]
+    """The model of a file, loaded once while this process needs no other tool."""
+    return common.tool(ByteBpe, path)
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +338,20 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     return rows.mapInArrow(run, f"{schema}, `{out_col}` string")
 
 
+def roundtrip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What encode and decode give, (id_col, n_tokens, ids, decoded), in one pass, so that each task needs one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for b in common.text_batches(batches, "__text", 2 << 20):
+            ids = m.encode_batch([x or "" for x in common.column(b, "__text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([common.column(b, id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(map(m.decode, ids)), pa.string())], [id_col, "n_tokens", "ids", "decoded"])
+
+    rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
+    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary, decoded string")
+
+
 def roundtrip_digest(df: DataFrame, path: str) -> DataFrame:
     """Encodes and decodes; (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
-    both = decode(encode(df, path), path)
+    both = roundtrip(df, path)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -71,7 +73,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_rid(df: DataFrame, name: str = "__rid") -> DataFrame:
-    """Adds a row number that a second scan of the same files gives again (it numbers rows within file splits)."""
+    """Adds a row number that a second scan of the same files gives again: it numbers rows within file splits.
+
+    How Spark cuts files would follow the number of live cores, which changes when executors are lost, so that is fixed first.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(max(1, spark.sparkContext.defaultParallelism)))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
@@ -89,12 +97,45 @@ def join_counted(rows: DataFrame, counts: DataFrame, keys: list[str], n: str, to
     return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """(__rid, __row): each row's number and the row as a struct, so that no name of its columns can clash."""
+    return with_rid(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")))
+
+
 def drop_rows(rows: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """Anti join with a written table of single row numbers; they're unique, so no key is hot."""
     small = dropped.count() <= BROADCAST_ROWS
     return rows.join(F.broadcast(dropped) if small else dropped, key, "left_anti")
 
 
+def without(df: DataFrame, dropped: DataFrame) -> DataFrame:
+    """df without the rows whose numbers a written table (__rid) holds."""
+    return drop_rows(packed(df), dropped, "__rid").select("__row.*")
+
+
+_tool: list = []
+
+
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def tool(kind, *args):
+    """kind(*args), kept in this process until another one is asked for. Workers serve many operators, and each tool's caches are
+    large; only one tool may hold memory at a time."""
+    if not _tool or _tool[0] != (kind, args):
+        if _tool:
+            _tool.clear()
+            gc.collect()
+            release()
+        _tool.extend([(kind, args), kind(*args)])
+    return _tool[1]
+
+
 def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most so many bytes together (one row at least)."""
     start, held = 0, 0

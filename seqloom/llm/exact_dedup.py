@@ -148,4 +148,4 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, with all their columns."""
     dropped = common.written(decide(df, id_col, text_col).where("not kept").select("__rid"), "dropped")
-    return common.drop_rows(common.with_rid(df), dropped, "__rid").drop("__rid")
+    return common.without(df, dropped)

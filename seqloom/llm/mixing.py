@@ -101,5 +101,5 @@ def mix(df: DataFrame, max_repetition: float | None = None, entropy: float | Non
 def remix(df: DataFrame, **options) -> DataFrame:
     """The rows of df, with all their columns, each as often as mix takes it."""
     times = mix(df, **options).groupBy("__rid").agg(F.count("*").alias("__times"))
-    rows = common.with_rid(df).join(times, "__rid")
-    return rows.withColumn("__copy", F.explode(F.expr("sequence(1, int(__times))"))).drop("__copy", "__times", "__rid")
+    rows = common.packed(df).join(times, "__rid")
+    return rows.select("__row", F.explode(F.expr("sequence(1, int(__times))"))).select("__row.*")

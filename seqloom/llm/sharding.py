@@ -111,9 +111,9 @@ def digest(df: DataFrame, shards: int = 24, seed: int = 7, id_col: str = "doc_id
 
 def shuffle(df: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     """df with shard and slot added (columns of these names are replaced); df must be read from files, whose rows keep their order."""
-    rows = common.with_rid(df.drop("shard", "slot"))
+    rows = common.packed(df.drop("shard", "slot"))
     places = assign(common.written(rows.select("__rid"), "rows"), shards, seed)
-    return rows.join(places, "__rid").drop("__rid")
+    return rows.join(places, "__rid").select("__row.*", "shard", "slot")
 
 
 def write(df: DataFrame, path: str, shards: int, seed: int = 7) -> None:

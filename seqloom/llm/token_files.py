@@ -63,13 +63,8 @@ class WhitespaceEncoder:
         return out
 
 
-_encoders: dict[str, WhitespaceEncoder] = {}
-
-
 def encoder(path: str) -> WhitespaceEncoder:
-    if path not in _encoders:
-        _encoders[path] = WhitespaceEncoder(path)
-    return _encoders[path]
+    return common.tool(WhitespaceEncoder, path)
 
 
 class ShardWriter:

@@ -118,7 +118,7 @@ class Model:
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         """The decision for each text's worst string; a text without strings counts as one without any subsequence."""
-        if len(self.cache) > 600_000:
+        if len(self.cache) > 200_000:
             self.cache = {}
         each = [strings(t) for t in texts]
         new = list({w for ws in each for w in ws}.difference(self.cache))
@@ -272,23 +272,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
-_models: dict[int, Model] = {}
+def unpacked(at: bytes, weights: bytes, bias: float, slope: float, offset: float) -> Model:
+    table = np.zeros(1 << 18)
+    table[np.frombuffer(at, np.int64)] = np.frombuffer(weights, np.float64)
+    return Model(table, bias, slope, offset)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(__rid, id_col, score double, predicted int) for each row, whatever its id; null, empty and wordless texts get the score of no string."""
     table, bias, slope, offset = model.table, model.bias, model.slope, model.offset
-    at = np.flatnonzero(table)
+    at = np.flatnonzero(table).astype(np.int64)
     weights = table[at]
-    token = hash((at.tobytes(), weights.tobytes(), bias, slope, offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _models:
-            _models.clear()
-            full = np.zeros(1 << 18)
-            full[at] = weights
-            _models[token] = Model(full, bias, slope, offset)
-        m = _models[token]
+        m = common.tool(unpacked, at.tobytes(), weights.tobytes(), bias, slope, offset)
         for b in common.text_batches(batches, "text"):
             p = m.score(common.column(b, "text").to_pylist())
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["__rid", "id", "score", "predicted"])
@@ -307,4 +304,4 @@ def digest(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 def clean(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, with all their columns, that aren't predicted toxic."""
     gone = common.written(score(df, model, id_col, text_col).where("predicted = 1").select("__rid"), "toxic")
-    return common.drop_rows(common.with_rid(df), gone, "__rid").drop("__rid")
+    return common.without(df, gone)
