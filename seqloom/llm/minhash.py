@@ -8,11 +8,8 @@ bucket's members are compared with its smallest one first; then, where a bucket
 those of different components with each other. What is compared is the full sets. Members of one component need no comparison: the
 components can't change by it.
 
-A passage that very many otherwise different texts share puts them into the same buckets. So buckets of more than BUCKET rows in several
-components are split by each further large bucket that their members share, and again by a third. A pair of members is still met,
-unless the large bucket is the only band, or two large ones the only bands, in which they agree. Pairs are then first held against each
-other by their signatures (one byte a coordinate). With the default bands, a pair at a similarity of just 0.75 is missed with a probability
-of 1e-7; if all buckets that it shares are large and stay so, of 2e-5; at 0.8, of below 1e-7 in either case.
+Pairs across components are first held against each other by their signatures (one byte a coordinate). With the default bands, a
+pair at a similarity of just 0.75 is missed with a probability of 1e-7.
 """
 
 from __future__ import annotations
@@ -29,8 +26,6 @@ from pyspark.sql import types as T
 from . import common, components
 
 BANDS, ROWS = 60, 5
-#: Rows of a bucket that are compared pair by pair; larger ones are first split by a second and a third band.
-BUCKET = 200
 #: The share of equal signature coordinates below which a pair's sets aren't compared: six standard deviations below a similarity of 0.75.
 AGREEING = 0.6
 CIRCLE = 1 << 20
@@ -175,23 +170,11 @@ def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
 
 def apart(placed: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs (u, v) of rows of different components that meet in a bucket, of (band, __rid, n_shingles, comp)."""
-    out = None
-    for level in range(3):
-        sizes = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("k")).where("a <> b").select("band", "k")
-        placed = common.written(placed.join(sizes, "band"), "open")
-        near = placed if level == 2 else placed.where(F.col("k") <= BUCKET)
-        other = near.select("band", F.col("__rid").alias("u"), F.col("n_shingles").alias("other"), F.col("comp").alias("comp_u"))
-        pairs = near.join(other, "band").where(f"comp_u < comp AND n_shingles * 100 >= {percent} * other AND other * 100 >= {percent} * n_shingles")
-        pairs = pairs.select(F.least("u", "__rid").alias("u"), F.greatest("u", "__rid").alias("v"))
-        out = pairs if out is None else out.unionByName(pairs)
-        large = placed.where(F.col("k") > BUCKET)
-        if level == 2 or large.isEmpty():
-            break
-        # every two of a row's large buckets (60 at most on the first level) make a smaller one
-        sets = large.groupBy("__rid").agg(F.sort_array(F.collect_set("band")).alias("bands"), F.first("n_shingles").alias("n_shingles"), F.first("comp").alias("comp"))
-        two = F.expr("flatten(transform(bands, (x, i) -> transform(slice(bands, i + 2, size(bands)), y -> xxhash64(x, y))))")
-        placed = sets.select(F.explode(F.array_distinct(two)).alias("band"), "__rid", "n_shingles", "comp")
-    return out.distinct()
+    sizes = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
+    near = common.written(placed.join(sizes, "band"), "open")
+    other = near.select("band", F.col("__rid").alias("u"), F.col("n_shingles").alias("other"), F.col("comp").alias("comp_u"))
+    pairs = near.join(other, "band").where(f"comp_u < comp AND n_shingles * 100 >= {percent} * other AND other * 100 >= {percent} * n_shingles")
+    return pairs.select(F.least("u", "__rid").alias("u"), F.greatest("u", "__rid").alias("v")).distinct()
 
 
 def similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:

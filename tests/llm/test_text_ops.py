@@ -127,9 +127,7 @@ def family(n=60):
     return out
 
 
-@pytest.mark.parametrize("bucket", [200, 3])
-def test_near_duplicates(spark, tmp_path, monkeypatch, bucket):
-    monkeypatch.setattr(minhash, "BUCKET", bucket)
+def test_near_duplicates(spark, tmp_path):
     texts = family() + [None, "", "one", "One", "two  words", "two\nwords"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
     got = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in minhash.digest(spark.read.parquet(str(tmp_path / "d"))).collect()}
