@@ -15,6 +15,12 @@ def op1_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_units", "n_removed", F.concat_ws(",", "removed").alias("removed_units"), "text")
 
 
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_span_dedup without what its SQL leaves out."""
+    out = span_dedup.clean(common.documents(spark, sf_dir), whole=True)
+    return out.select("doc_id", "n_units", "n_removed", F.concat_ws(",", "removed").alias("removed_units"), "text")
+
+
 OP1_SQL = r"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ws, length(regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*')) AS lead FROM documents),
 t AS (SELECT doc_id, unnest(ws) AS raw, unnest(range(len(ws))) AS i FROM w),
@@ -116,7 +122,7 @@ FROM c WHERE room >= block_tokens OR inside <= room
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_span_dedup, op2_exact_dedup, op3_sharding, op4_telephony, op5_toxicity, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
+    return {f.__name__: f for f in (op1_span_dedup, op1_passage_dedup, op2_exact_dedup, op3_sharding, op4_telephony, op5_toxicity, op6_html_text, op7_token_files, op8_minhash, op9_bpe_roundtrip, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

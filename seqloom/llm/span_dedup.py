@@ -3,6 +3,9 @@
 A text is cut into units: sentences, which end at a word ending in . ! or ? or at a line's end; a longer sentence ends after every
 16th word as well, so that a passage of one long sentence has several units. Every run of three consecutive units is hashed. Hashes
 are counted and joined over the whole corpus, and the units that a run's second or later occurrence covers are removed.
+
+So it is in SQL, where a run of fewer than ten words is dropped. With whole=True it is extended by further units to ten words instead,
+from its first unit on and from its last one back, so that passages of short sentences are found to both of their ends.
 """
 
 from __future__ import annotations
@@ -54,10 +57,54 @@ def run_hashes(text: str | None, run: int, least_words: int, longest: int) -> np
     return np.where(total >= least_words, out.view(np.int64), 0)
 
 
+def extended(sizes: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First unit and number of units of each run, in order: the shortest ones of at least run units and least_words words that begin at a
+    unit, and those that end at one."""
+    n = len(sizes)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(n)
+    ends = np.maximum(np.searchsorted(total, total[:-1] + least_words), at + run)  # beyond n: too few words are left
+    starts = np.minimum(np.searchsorted(total, total[1:] - least_words, "right") - 1, at + 1 - run)
+    spans = np.concatenate([np.stack([at, ends], 1)[ends <= n], np.stack([starts, at + 1], 1)[starts >= 0]])
+    spans = np.unique(spans, axis=0) if len(spans) else spans
+    return spans[:, 0], spans[:, 1] - spans[:, 0]
+
+
+def passage_runs(text: str | None, run: int, least_words: int, longest: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[bytes]]:
+    """Of a text: its units' places, the first unit and the number of units of each run, and the units' words."""
+    found = [(m.span(), m.group().encode().split()) for m in units(text or "", longest)]
+    starts, counts = extended(np.fromiter((len(w) for _, w in found), np.int64, len(found)), run, least_words)
+    return [s for s, _ in found], starts, counts, [b" ".join(w) for _, w in found]
+
+
+def passage_hashes(text: str | None, run: int, least_words: int, longest: int) -> np.ndarray:
+    """A 64-bit number, never 0, for each of passage_runs. Spacing doesn't count."""
+    from xxhash import xxh3_64_intdigest as h
+
+    _, starts, counts, words = passage_runs(text, run, least_words, longest)
+    each = np.fromiter(map(h, words), np.uint64, len(words))
+    out = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(int(counts.max(initial=0))):
+            on = counts > k
+            x = (out[on] ^ each[starts[on] + k]) * np.uint64(0x9E3779B97F4A7C15)
+            out[on] = x ^ (x >> np.uint64(29))
+    return (out | np.uint64(1)).view(np.int64)
+
+
+def cut_passages(text: str, places: list[int], run: int, least_words: int, longest: int) -> tuple[str, int, list[int]]:
+    """As cut, of these of passage_runs."""
+    spans, starts, counts, _ = passage_runs(text, run, least_words, longest)
+    return without(text, spans, sorted({i for p in places for i in range(starts[p], starts[p] + counts[p])}))
+
+
 def cut(text: str, starts: list[int], run: int, longest: int) -> tuple[str, int, list[int]]:
     """The text without the units that runs at these units cover, the number of units, and which are removed."""
     spans = [m.span() for m in units(text, longest)]
-    gone = sorted({i for s in starts for i in range(s, s + run)})
+    return without(text, spans, sorted({i for s in starts for i in range(s, s + run)}))
+
+
+def without(text: str, spans: list[tuple[int, int]], gone: list[int]) -> tuple[str, int, list[int]]:
     out, at = [], 0
     for i in gone:  # a unit goes with the white space behind it
         a, b = spans[i][0], spans[i + 1][0] if i + 1 < len(spans) else len(text)
@@ -67,19 +114,20 @@ def cut(text: str, starts: list[int], run: int, longest: int) -> tuple[str, int,
     return "".join(out), len(spans), gone
 
 
-def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest: int = LONGEST, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """For each row: __rid, id_col, n_units, removed array<int> (units, from 0), n_removed, text (what remains).
 
     The first occurrence is the one of the smallest id, then row, then place; null ids come first. A run may repeat within a document.
     Null texts have no units and stay null; equal rows are occurrences of their own. Only the two named columns are read.
     Repeated runs that overlap are removed with all their units. Empty tables give an empty result.
+    whole: short runs are extended, not dropped.
     """
     kind = dict(df.dtypes)[id_col]
     rows = common.with_rid(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
 
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.text_batches(batches, "text"):
-            each = [run_hashes(t, run, least_words, longest) for t in common.column(b, "text").to_pylist()]
+            each = [(passage_hashes if whole else run_hashes)(t, run, least_words, longest) for t in common.column(b, "text").to_pylist()]
             ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
             flat = pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.ListArray.from_arrays(ends, flat)], ["__rid", "id", "runs"])
@@ -89,7 +137,7 @@ def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest
     repeated = common.written(runs.groupBy("run").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
     total = repeated.agg(F.sum("k")).first()[0] or 0
     places = common.written(common.join_counted(runs, repeated, ["run"], "k", total), "places")
-    # only rows with a repeated run need their id; a row's number is unique, and its runs are as many as its units
+    # only rows with a repeated run need their id; a row's number is unique, and its runs are at most twice its units
     first = places.join(hashed.select("__rid", "id"), "__rid").groupBy("run").agg(F.min(F.struct("id", "__rid", "pos")).alias("first"), F.count("*").alias("k"))
     first = common.written(first.select("run", "k", F.col("first.__rid").alias("rid0"), F.col("first.pos").alias("pos0")), "first")
     later = common.join_counted(places.drop("k"), first, ["run"], "k", total).where("__rid <> rid0 OR pos <> pos0")
@@ -97,7 +145,7 @@ def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest
 
     def cut_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.text_batches(batches, "text"):
-            done = [(None, 0, []) if t is None else cut(t, s or [], run, longest) for t, s in zip(common.column(b, "text").to_pylist(), common.column(b, "starts").to_pylist())]
+            done = [(None, 0, []) if t is None else cut_passages(t, s or [], run, least_words, longest) if whole else cut(t, s or [], run, longest) for t, s in zip(common.column(b, "text").to_pylist(), common.column(b, "starts").to_pylist())]
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.array([n for _, n, _ in done], pa.int32()), pa.array([g for _, _, g in done], pa.list_(pa.int32())), pa.array([len(g) for _, _, g in done], pa.int32()), pa.array([t for t, _, _ in done], pa.string())], ["__rid", "id", "n_units", "removed", "n_removed", "text"])
 
     done = rows.join(starts, "__rid", "left").select("__rid", "id", "text", "starts").mapInArrow(cut_, f"__rid long, id {kind}, n_units int, removed array<int>, n_removed int, text string")

@@ -182,6 +182,39 @@ def test_units_cut_long_sentences():
     assert len(starts) == 2 and span_dedup.cut(passage, starts, 3, 16) == ("", 4, [0, 1, 2, 3])
 
 
+def removed_by_definition(texts, cut):
+    """Units removed from each text if every run, grown to ten words from its first unit on or its last one back, is compared in full."""
+    seen, out = set(), []
+    for t in texts:
+        u = [" ".join(m.split()) for m in cut(t)]
+        size = [len(x.split()) for x in u]
+        runs = set()
+        for i in range(len(u)):
+            runs.add(next(((i, e) for e in range(i + 3, len(u) + 1) if sum(size[i:e]) >= 10), None))
+            runs.add(next(((s, i + 1) for s in range(i - 2, -1, -1) if sum(size[s : i + 1]) >= 10), None))
+        gone = set()
+        for s, e in sorted(runs - {None}):
+            if tuple(u[s:e]) in seen:
+                gone.update(range(s, e))
+            seen.add(tuple(u[s:e]))
+        out.append((len(u), sorted(gone)))
+    return out
+
+
+def test_passages_of_short_sentences(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    short = " ".join(f"s{i}!!" for i in range(60))
+    uneven = " ".join(f"u{i}" for i in range(9)) + ". one! two! three! " + " ".join(f"v{i}" for i in range(8)) + ". end!"
+    mixed = [" ".join(f"m{i}" + ".  "[i % 3] for i in rng.integers(0, 6, 40)) for _ in range(8)]
+    texts = [short, short.replace(" ", "  "), f"Other words come first. {short} And last!", uneven, f"Before it! {uneven} After it.", "a. b. c. d.", "a. b. c. d.", "", *mixed]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r for r in span_dedup.clean(spark.read.parquet(str(tmp_path / "d")), whole=True).collect()}
+    want = removed_by_definition(texts, lambda t: [m.group() for m in span_dedup.units(t)])
+    assert [(got[i]["n_units"], got[i]["removed"]) for i in range(len(texts))] == want
+    assert got[1]["text"] == "" and got[2]["text"] == "Other words come first. And last!" and got[4]["text"] == "Before it! After it."
+    assert got[6]["n_removed"] == 0
+
+
 def test_bpe_is_the_library(docs, empty):
     lib = Tokenizer.from_file(GPT)
     got = {}
