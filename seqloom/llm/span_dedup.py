@@ -5,12 +5,15 @@ A text is cut into units: sentences, which end at a word ending in . ! or ? or a
 are counted and joined over the whole corpus, and the units that a run's second or later occurrence covers are removed.
 
 So it is in SQL, where a run of fewer than ten words is dropped. With whole=True it is extended by further units to ten words instead,
-from its first unit on and from its last one back, so that passages of short sentences are found to both of their ends.
+from its first unit on and from its last one back, so that passages of short sentences are found to both of their ends. Its units also
+end after each word whose hash is a multiple of CUT_SHARE, so that equal passages have equal units wherever in a sentence they begin;
+where longest words pass without such an end, units differ at most up to the next one.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from . import common
 
 RUN, LEAST_WORDS, LONGEST = 3, 10, 16
+#: With whole=True one word in so many ends a unit.
+CUT_SHARE = 6
 
 
 def unit_pattern(longest: int) -> re.Pattern:
@@ -70,9 +75,26 @@ def extended(sizes: np.ndarray, run: int, least_words: int) -> tuple[np.ndarray,
     return spans[:, 0], spans[:, 1] - spans[:, 0]
 
 
+_word = re.compile(r"([^\x20\x09-\x0D]++)(?:[\x20\x09\x0B-\x0D]*+(\x0A))?")
+
+
+def passage_units(text: str, longest: int = LONGEST) -> list[tuple[tuple[int, int], list[bytes]]]:
+    """Place and words of each unit: as units, with ends after words of certain hashes."""
+    out, words, start = [], [], 0
+    for m in _word.finditer(text):
+        word = m[1].encode()
+        if not words:
+            start = m.start()
+        words.append(word)
+        if word[-1] in b".!?" or m[2] or len(words) == longest or zlib.crc32(word) % CUT_SHARE == 0:
+            out.append(((start, m.end(1)), words))
+            words = []
+    return [*out, ((start, len(text.rstrip("\x20\x09\x0A\x0B\x0C\x0D"))), words)] if words else out
+
+
 def passage_runs(text: str | None, run: int, least_words: int, longest: int) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray, list[bytes]]:
     """Of a text: its units' places, the first unit and the number of units of each run, and the units' words."""
-    found = [(m.span(), m.group().encode().split()) for m in units(text or "", longest)]
+    found = passage_units(text or "", longest)
     starts, counts = extended(np.fromiter((len(w) for _, w in found), np.int64, len(found)), run, least_words)
     return [s for s, _ in found], starts, counts, [b" ".join(w) for _, w in found]
 

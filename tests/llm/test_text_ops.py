@@ -209,12 +209,29 @@ def test_passages_of_short_sentences(spark, tmp_path):
     texts = [short, short.replace(" ", "  "), f"Other words come first. {short} And last!", uneven, f"Before it! {uneven} After it.", "a. b. c. d.", "a. b. c. d.", "", *mixed]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
     got = {r["doc_id"]: r for r in span_dedup.clean(spark.read.parquet(str(tmp_path / "d")), whole=True).collect()}
-    want = removed_by_definition(texts, lambda t: [m.group() for m in span_dedup.units(t)])
+    want = removed_by_definition(texts, lambda t: [b' '.join(w).decode() for _, w in span_dedup.passage_units(t)])
     assert [(got[i]["n_units"], got[i]["removed"]) for i in range(len(texts))] == want
     assert got[1]["text"] == "" and got[2]["text"] == "Other words come first. And last!" and got[4]["text"] == "Before it! After it."
     assert got[6]["n_removed"] == 0
 
 
+def test_passages_at_any_offset_of_a_long_sentence(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = lambda k: [f"w{i}" for i in rng.integers(0, 10**6, k)]
+    passage = words(55)
+    texts = [" ".join(words(20 + k) + passage + words(30)) for k in range(17)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r["text"].split() for r in span_dedup.clean(spark.read.parquet(str(tmp_path / "d")), whole=True).collect()}
+    ends = {tuple(w) for _, w in span_dedup.passage_units(" ".join(passage))}
+    assert got[0] == texts[0].split() and len(ends) > 5
+    for k in range(1, 17):
+        left = len(set(passage) & set(got[k]))
+        assert left <= 11 and set(got[k]) >= set(texts[k].split()) - set(passage)
+    for t in ("", " a  b\t\n c. d ", "x " * 40 + "\n\n y", "\n"):  # every word is in one unit, spans in order
+        u = span_dedup.passage_units(t)
+        assert [t[a:b].encode().split() for (a, b), _ in u] == [w for _, w in u] and [x for _, w in u for x in w] == t.encode().split()
+
+
 def test_bpe_is_the_library(docs, empty):
     lib = Tokenizer.from_file(GPT)
     got = {}
