@@ -21,6 +21,7 @@ from . import common
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima_adpcm"}
 BLOCK = 64  # bytes of an ADPCM block: 4 of header, 60 of two samples each
+BATCH_BYTES, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 PER_BLOCK = 1 + 2 * (BLOCK - 4)
 
 
@@ -131,6 +132,12 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((x[i] * (to - f) + x[np.minimum(i + 1, len(x) - 1)] * f) // to).astype(np.int16)
 
 
+def pcm_files(files: list[tuple[int, int, bytes] | None], rate: int = 16000) -> list[bytes | None]:
+    """A 16-bit PCM WAV file of the given rate for each parsed file; None for None."""
+    pcm = iter(decode_many([(f[0], f[2]) for f in files if f]))
+    return [None if f is None else wav(PCM, resample(next(pcm), f[1], rate).astype("<i2").tobytes(), rate) for f in files]
+
+
 def decode(df: DataFrame, media_col: str = "media", out_col: str = "pcm", rate: int = 16000) -> DataFrame:
     """Adds out_col (replacing one of that name): each file as a 16-bit PCM WAV file of the given rate; null for null."""
     rows = df.drop(out_col)
@@ -138,9 +145,7 @@ def decode(df: DataFrame, media_col: str = "media", out_col: str = "pcm", rate:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.text_batches(batches, media_col, 2 << 20):
             files = [None if x is None else parse(x) for x in common.column(b, media_col).to_pylist()]
-            pcm = iter(decode_many([(f[0], f[2]) for f in files if f]))
-            done = [None if f is None else wav(PCM, resample(next(pcm), f[1], rate).astype("<i2").tobytes(), rate) for f in files]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(done, pa.binary())], [*b.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm_files(files, rate), pa.binary())], [*b.schema.names, out_col])
 
     return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out_col}` binary")
 
@@ -165,28 +170,41 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_bytes long, media binary")
 
 
-def features(stored: DataFrame, id_col: str = "doc_id", rate: int = 16000) -> DataFrame:
-    """Reads stored files back: their payload's and their own digests, and what the resampled PCM is like."""
+def described(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The stored files' payload's and their own digests, their codec and, as from decode, their PCM file, without the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.text_batches(batches, "media", 2 << 20):
+        for b in common.text_batches(batches, "media", 1 << 20):
             media = common.column(b, "media").to_pylist()
             files = [parse(m) for m in media]
-            feature = []
-            for (tag, hz, _), pcm in zip(files, decode_many([(f[0], f[2]) for f in files])):
-                x = resample(pcm, hz, rate)
-                y = x.astype(np.float64)
-                signs = np.signbit(x)
-                feature.append(f"{NAMES[tag]} samples={len(x)} rms={np.sqrt(np.dot(y, y) / len(y)):.3f} peak={int(np.abs(x.astype(np.int32)).max())} crossings={int((signs[1:] != signs[:-1]).sum())} crc={zlib.crc32(x.astype('<i2').tobytes()):08x}")
             data = [f[2] for f in files]
             yield pa.RecordBatch.from_arrays(
-                [common.column(b, id_col), common.column(b, "n_bytes"), pa.array(map(len, data), pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]), pa.array([zlib.crc32(d[-64:]) for d in data], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature)],
-                [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+                [common.column(b, id_col), common.column(b, "n_bytes"), pa.array(map(len, data), pa.int64()), pa.array([hashlib.sha256(d).hexdigest() for d in data]), pa.array([zlib.crc32(d[-64:]) for d in data], pa.int64()), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([NAMES[f[0]] for f in files]), pa.array(pcm_files(files), pa.binary())],
+                [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm"],
             )
 
-    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {dict(stored.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {dict(stored.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary")
+
+
+def features(stored: DataFrame) -> DataFrame:
+    """Reads stored PCM files back: what they are like takes the place of codec and pcm."""
+    kept = stored.columns[:-2]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.text_batches(batches, "pcm"):
+            feature = []
+            for name, pcm in zip(common.column(b, "codec").to_pylist(), common.column(b, "pcm").to_pylist()):
+                x = np.frombuffer(parse(pcm)[2], "<i2")
+                y = x.astype(np.float64)
+                signs = np.signbit(x)
+                feature.append(f"{name} samples={len(x)} rms={np.sqrt(np.dot(y, y) / len(y)):.3f} peak={int(np.abs(x.astype(np.int32)).max())} crossings={int((signs[1:] != signs[:-1]).sum())} crc={zlib.crc32(x.tobytes()):08x}")
+            yield pa.RecordBatch.from_arrays([*(common.column(b, c) for c in kept), pa.array(feature, pa.string())], [*kept, "feature"])
+
+    return stored.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in stored.dtypes[:-2]) + ", feature string")
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Stores every text as audio in a table of the shared folder and describes what is read back from it."""
-    return features(common.written(pack(df), "media"))
+    """Stores every text as audio, then its resampled PCM, in tables of the shared folder and describes what is read back from them."""
+    if int(df.sparkSession.conf.get(BATCH_BYTES).rstrip("b")) > MOST:  # PCM is large: ten thousand rows may not go to a worker at once
+        df.sparkSession.conf.set(BATCH_BYTES, str(MOST))
+    return features(common.written(described(common.written(pack(df), "media")), "pcm"))

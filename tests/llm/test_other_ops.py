@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from seqloom.llm import html_text, mixing, sharding, telephony, toxicity
+from seqloom.llm import common, html_text, mixing, sharding, telephony, toxicity
 
 ROWS = [(i, None if i == 3 else "" if i == 4 else f"text {i % 7} " * (i % 40), "big" if i % 3 else ("s1", "s2", None)[i % 4 % 3]) for i in range(500)] + [(None, "x", "big"), (7, "text 0 ", "big"), (9, "long " * 40_000, "s1")]
 
@@ -143,6 +143,18 @@ def test_audio_round_trip(spark, docs, empty):
         telephony.parse(b"no audio")
 
 
+def test_query_stores_pcm(docs, monkeypatch):
+    tables = {}
+    written = common.written
+    monkeypatch.setattr(common, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    got = sorted((r["media_sha256"], r["feature"]) for r in telephony.digest(docs).collect())
+    stored = tables["pcm"].collect()
+    want = {hashlib.sha256(r["media"]).hexdigest(): bytes(r["pcm"]) for r in telephony.decode(tables["media"]).collect()}
+    assert len(stored) == len(ROWS) and all(bytes(r["pcm"]) == want[r["media_sha256"]] for r in stored)
+    crc = {m: zlib.crc32(telephony.parse(p)[2]) for m, p in want.items()}
+    assert len(got) == len(ROWS) and all(f.endswith(f" crc={crc[m]:08x}") for m, f in got)
+
+
 INSULTS = ["idiot", "moron", "scum"]
 
 
