@@ -28,6 +28,8 @@ NAMES = re.compile(
     r"^(ads?|advert\w*|adsense|banner|breadcrumbs?|byline|captcha|comments?|commentlist|consent|cookies?|disclaimer|disqus|footer|footnav|gdpr|header|hidden|login|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notices?|notification|overlay|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|sidebars|signup|sitemap|skip|social|sponsor\w*|subscribe|subscription|teaser|toc|toolbar|topbar|widget|widgets)$"
 )
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Words that make a part's name a property of the layout around it, as in has-sidebar, comments-open, header-fixed.
+MODIFIERS = frozenset("has no with without open closed fixed sticky".split())
 #: What closes an open p, and which elements end their open sibling.
 CLOSES_P = BLOCKS - {"body", "caption", "head", "html", "legend", "option", "tbody", "td", "tfoot", "thead", "title", "tr"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -37,14 +39,20 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, dropped, number of the article or main element or -1)."""
+    """Collects lines: (text, tags, dropped, number of the article or main element or -1).
+
+    An element whose class or id alone names a part that is dropped is kept if it holds the main element, or articles on a page that
+    has neither elsewhere.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, starts a dropped part, is an article
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, starts a dropped part, is an article, starts a part dropped by its name
         self.dropped = self.articles = 0
         self.article, self.n_articles = [], 0
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.named, self.n_named = [], 0  # numbers of the open parts that are dropped by their names
+        self.holders: list[tuple[bool, tuple[int, ...]]] = []  # for each article or main element: is it main, such parts around it
+        self.lines: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -52,15 +60,17 @@ class Lines(HTMLParser):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                self.lines.append((" ".join(words), self.tags, self.dropped > 0, self.article[-1] if self.article else -1))
+                self.lines.append((" ".join(words), self.tags, self.dropped > 0, self.article[-1] if self.article else -1, tuple(self.named)))
                 self.tags = 0
             self.text = []
 
     def pop(self) -> str:
-        tag, drops, article = self.stack.pop()
+        tag, drops, article, named = self.stack.pop()
         if tag in BLOCKS:
             self.flush()
         self.dropped -= drops
+        if named:
+            self.named.pop()
         if article:
             self.article.pop()
         return tag
@@ -76,10 +86,17 @@ class Lines(HTMLParser):
                 return True
             if name == "hidden" or name == "aria-hidden" and value == "true":
                 return True
+        return False
+
+    def named_part(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in ("html", "body", "main") or tag in HEADINGS:
+            return False
+        inside = bool(self.article)
+        for name, value in attrs:
             if name in ("class", "id") and value:
-                for word in WORDS.findall(value):
-                    word = word.lower()
-                    if NAMES.match(word) and not (inside and word in ("header", "byline")) and not (tag == "article" and word not in ("comment", "comments", "teaser", "related", "ad", "ads", "reply", "replies")):
+                for token in value.split():
+                    words = [w.lower() for w in WORDS.findall(token)]
+                    if MODIFIERS.isdisjoint(words) and any(NAMES.match(word) and not (inside and word in ("header", "byline")) and not (tag == "article" and word not in ("comment", "comments", "teaser", "related", "ad", "ads", "reply", "replies")) for word in words):
                         return True
         return False
 
@@ -96,9 +113,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         drops = self.drops(tag, attrs)
-        article = not drops and not self.dropped and (tag in ("article", "main") or ("role", "main") in attrs)
-        self.stack.append((tag, drops, article))
+        named = not drops and self.named_part(tag, attrs)
+        main = tag == "main" or ("role", "main") in attrs
+        article = not drops and not named and not self.dropped and (tag == "article" or main)
+        self.stack.append((tag, drops, article, named))
         self.dropped += drops
+        if named:
+            self.named.append(self.n_named)
+            self.n_named += 1
+        if article:
+            self.holders.append((main, tuple(self.named)))
         if article:
             self.article.append(self.n_articles if not self.article else self.article[-1])
             self.n_articles += len(self.article) == 1
@@ -128,7 +152,10 @@ class Lines(HTMLParser):
 
     def finish(self) -> list[tuple[str, int, bool, int]]:
         self.close_all()
-        return self.lines
+        kept = {n for main, named in self.holders if main for n in named}
+        if not any(kept.issuperset(named) for _, named in self.holders):
+            kept = {n for _, named in self.holders for n in named}
+        return [(t, tags, drop or not kept.issuperset(named), a) for t, tags, drop, a, named in self.lines]
 
     def close_all(self) -> None:
         super().close()

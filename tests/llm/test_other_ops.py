@@ -233,6 +233,17 @@ def test_main_text():
     assert html_text.extract("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "deep"
 
 
+def test_layout_classes_keep_the_article():
+    for around in ("content has-sidebar", "no-sidebar", "comments-open", "header-fixed", "page-with-menu"):
+        assert html_text.extract(f'<body><div class="{around}"><p>The text is here.</p></div></body>') == "The text is here."
+    for around in ("sidebar-layout", "widget", "social page"):  # names of parts, but they hold the article
+        page = f'<body><div class="{around}"><div class="menu-items">Home</div><nav>All</nav><article><p>The text is here.</p><div class="comment-list">Nice!</div></article></div></body>'
+        assert html_text.extract(page) == "The text is here."
+        assert html_text.extract(page.replace("article", "main")) == "The text is here."
+    page = '<body><article><p>The text is here.</p></article><div class="related"><article><p>Another text, for later on.</p></article></div></body>'
+    assert html_text.extract(page) == "The text is here."
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(df).collect()
