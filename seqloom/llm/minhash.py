@@ -8,8 +8,8 @@ bucket's members are compared with its smallest one first; then, where a bucket
 those of different components with each other. What is compared is the full sets. Members of one component need no comparison: the
 components can't change by it.
 
-Pairs across components are first held against each other by their signatures (one byte a coordinate). With the default bands, a
-pair at a similarity of just 0.75 is missed with a probability of 1e-7.
+Pairs across components are first held against each other by their signatures (one byte a coordinate). Bands and that cut follow the
+threshold, so that a pair at a similarity of just the threshold is missed with a probability of at most 1e-7 by the bands.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from . import common, components
 
 BANDS, ROWS = 60, 5
-#: The share of equal signature coordinates below which a pair's sets aren't compared: six standard deviations below a similarity of 0.75.
-AGREEING = 0.6
+#: The probability at which a pair at a similarity of just the threshold may be missed by the bands.
+MISSED = 1e-7
 CIRCLE = 1 << 20
 #: Members that one task compares with the same document.
 FAN = 2000
@@ -80,6 +80,23 @@ class Circulant:
         return out
 
 
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and rows of a signature of BANDS * ROWS coordinates: the most rows, ROWS at most, that miss a pair at percent rarely enough."""
+    if percent > 100:
+        raise ValueError("a similarity is at most 100 percent")
+    for rows in range(ROWS, 0, -1):
+        bands = BANDS * ROWS // rows
+        if percent > 0 and (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    raise ValueError(f"signatures of {BANDS * ROWS} coordinates can't find pairs at {percent} percent")
+
+
+def agreeing(percent: int) -> float:
+    """The share of equal signature coordinates below which a pair's sets aren't compared: six standard deviations below percent."""
+    share = percent / 100
+    return share - 6 * (share * (1 - share) / (BANDS * ROWS)) ** 0.5 - 1e-9
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band, different for equal contents of different bands."""
     s = signature.reshape(bands, rows).astype(np.uint64)
@@ -177,8 +194,9 @@ def apart(placed: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("u", "__rid").alias("u"), F.greatest("u", "__rid").alias("v")).distinct()
 
 
-def similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those pairs whose signatures agree in at least a share AGREEING of the coordinates."""
+def similar(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs whose signatures agree in at least a share agreeing(percent) of the coordinates."""
+    least = agreeing(percent)
     pairs = common.written(pairs, "met")
     both = pairs.join(sketches.select(F.col("__rid").alias("u"), F.col("sketch").alias("a")), "u").join(sketches.select(F.col("__rid").alias("v"), F.col("sketch").alias("b")), "v")
 
@@ -186,7 +204,7 @@ def similar(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(common.column(b, c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in "ab")
-                keep = pa.array((x == y).mean(axis=1) >= AGREEING)
+                keep = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([common.column(b, "u").filter(keep), common.column(b, "v").filter(keep)], ["u", "v"])
 
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -201,7 +219,7 @@ def components_of(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     """
     kind = dict(df.dtypes)[id_col]
     rows = common.with_rid(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    signed = common.written(signatures(rows), "signatures")
+    signed = common.written(signatures(rows, *banding(percent)), "signatures")
     total = signed.count()
     filled = signed.where("n_shingles > 0")
     # classes of equal sets
@@ -223,7 +241,7 @@ def components_of(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     small = labels.count() <= common.BROADCAST_ROWS
     known = labels.select(F.col("node").alias("__rid"), "comp")
     placed = members.select("band", "__rid", "n_shingles").join(F.broadcast(known) if small else known, "__rid", "left").withColumn("comp", F.coalesce("comp", "__rid"))
-    across = similar(apart(placed, percent), signed.select("__rid", "sketch"))
+    across = similar(apart(placed, percent), signed.select("__rid", "sketch"), percent)
     more = common.written(confirmed(across, rows, percent), "links")
     if more.count():
         labels = common.written(components.connected(links.unionByName(more)), "labels")

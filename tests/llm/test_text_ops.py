@@ -135,6 +135,20 @@ def test_near_duplicates(spark, tmp_path):
     assert got == {i: (c, n, c == i) for i, (c, n) in enumerate(zip(comps, sizes))}
 
 
+def test_banding_follows_the_threshold(spark, tmp_path):
+    assert minhash.banding(75) == (60, 5) and abs(minhash.agreeing(75) - 0.6) < 1e-6 and minhash.banding(50) == (150, 2)
+    for percent in (0, 2, 101):
+        with pytest.raises(ValueError):
+            minhash.banding(percent)
+    texts = []
+    for i in range(60):  # pairs of 90 shingles each, 62 of them in common: 62 / 118 = 0.525
+        w = [f"t{i}x{k}" for k in range(91)]
+        texts += [" ".join(w), " ".join(w[:63] + [f"o{i}x{k}" for k in range(28)])]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "d"))
+    got = minhash.components_of(spark.read.parquet(str(tmp_path / "d")), 50).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_near_duplicates_of_awkward_rows(docs, empty):
     got = minhash.dedup(docs)
     ids = [r["doc_id"] for r in got.collect()]
