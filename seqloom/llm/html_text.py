@@ -3,7 +3,7 @@
 The standard library's parser turns a page into lines, one for each block of text, with the number of tags it took and whether a
 menu, header, footer, sidebar, notice, advert, form or comment section holds it. The text-to-tag ratios of the lines are smoothed with
 a Gaussian window; lines above a threshold (a standard deviation's share of the mean) form the seeds of content regions. Where the
-seeds lie in an article or main element, its lines are the content; else each cluster of seeds is, with the short lines between.
+seeds lie in an article or main element, its lines are the content; else each cluster of seeds is, with the other lines of its containers.
 """
 
 from __future__ import annotations
@@ -35,11 +35,13 @@ CLOSES_P = BLOCKS - {"body", "caption", "head", "html", "legend", "option", "tbo
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: An end tag doesn't reach across these from within.
 SCOPE = frozenset("article aside body div footer form header html main nav section table ul ol dl blockquote".split())
+#: What holds the blocks of a text.
+CONTAINERS = frozenset("article body center div html main section td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, dropped, number of the article or main element or -1).
+    """Collects lines: (text, tags, dropped, number of the article or main element or -1, number of the container or -1).
 
     An element whose class or id alone names a part that is dropped is kept if it holds the main element, or articles on a page that
     has neither elsewhere.
@@ -50,9 +52,10 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, starts a dropped part, is an article, starts a part dropped by its name
         self.dropped = self.articles = 0
         self.article, self.n_articles = [], 0
+        self.containers, self.n_containers = [-1], 0
         self.named, self.n_named = [], 0  # numbers of the open parts that are dropped by their names
         self.holders: list[tuple[bool, tuple[int, ...]]] = []  # for each article or main element: is it main, such parts around it
-        self.lines: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, bool, int, int, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -60,7 +63,7 @@ class Lines(HTMLParser):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                self.lines.append((" ".join(words), self.tags, self.dropped > 0, self.article[-1] if self.article else -1, tuple(self.named)))
+                self.lines.append((" ".join(words), self.tags, self.dropped > 0, self.article[-1] if self.article else -1, self.containers[-1], tuple(self.named)))
                 self.tags = 0
             self.text = []
 
@@ -68,6 +71,9 @@ class Lines(HTMLParser):
         tag, drops, article, named = self.stack.pop()
         if tag in BLOCKS:
             self.flush()
+        if tag in CONTAINERS:
+            self.flush()
+            self.containers.pop()
         self.dropped -= drops
         if named:
             self.named.pop()
@@ -118,6 +124,10 @@ class Lines(HTMLParser):
         article = not drops and not named and not self.dropped and (tag == "article" or main)
         self.stack.append((tag, drops, article, named))
         self.dropped += drops
+        if tag in CONTAINERS:
+            self.flush()
+            self.containers.append(self.n_containers)
+            self.n_containers += 1
         if named:
             self.named.append(self.n_named)
             self.n_named += 1
@@ -150,12 +160,12 @@ class Lines(HTMLParser):
             return
         self.text.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool, int]]:
+    def finish(self) -> list[tuple[str, int, bool, int, int]]:
         self.close_all()
         kept = {n for main, named in self.holders if main for n in named}
         if not any(kept.issuperset(named) for _, named in self.holders):
             kept = {n for _, named in self.holders for n in named}
-        return [(t, tags, drop or not kept.issuperset(named), a) for t, tags, drop, a, named in self.lines]
+        return [(t, tags, drop or not kept.issuperset(named), a, c) for t, tags, drop, a, c, named in self.lines]
 
     def close_all(self) -> None:
         super().close()
@@ -178,13 +188,13 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.3) -> str:
     kept = [x for x in lines if not x[2]]
     if not kept:
         return ""
-    ratio = smooth(np.array([len(t) / max(tags, 1) * (not drop) for t, tags, drop, _ in lines]), sigma)
+    ratio = smooth(np.array([len(t) / max(tags, 1) * (not drop) for t, tags, drop, _, _ in lines]), sigma)
     seeds = [(r, x) for r, x in zip(ratio, lines) if not x[2]]
     spread = float(np.std(ratio))
     limit = min(share * spread, max(r for r, _ in seeds)) if spread > 0 else 0.0
     inside: dict[int, int] = {}
     outside = 0
-    for r, (text, _, _, article) in seeds:
+    for r, (text, _, _, article, _) in seeds:
         if r >= limit:
             if article >= 0:
                 inside[article] = inside.get(article, 0) + len(text)
@@ -193,11 +203,18 @@ def extract(html: str | None, sigma: float = 1.0, share: float = 0.3) -> str:
     if inside and sum(inside.values()) >= 0.25 * outside:
         main = max(inside.values())
         chosen = {a for a, n in inside.items() if n >= 0.1 * main}
-        return "\n\n".join(t for t, _, _, a in kept if a in chosen)
-    if not inside and any(a >= 0 for _, _, _, a in kept) and not outside:
-        return "\n\n".join(t for t, _, _, a in kept if a >= 0)
-    # no article element: clusters of seeds, with up to two short lines between seeds
+        return "\n\n".join(t for t, _, _, a, _ in kept if a in chosen)
+    if not inside and any(a >= 0 for _, _, _, a, _ in kept) and not outside:
+        return "\n\n".join(t for t, _, _, a, _ in kept if a >= 0)
+    # no article element: clusters of seeds, with all lines of their containers, all between a container's seeds, and up to two short ones between seeds
     on = [r >= limit for r, _ in seeds]
+    ends: dict[int, tuple[int, int]] = {}
+    for i, (_, x) in enumerate(seeds):
+        if on[i]:
+            ends[x[4]] = (ends.get(x[4], (i, i))[0], i)
+    on = [y or x[4] in ends for (_, x), y in zip(seeds, on)]
+    for a, b in ends.values():
+        on[a : b + 1] = [True] * (b + 1 - a)
     last = -1
     for i, x in enumerate(on):
         if x:

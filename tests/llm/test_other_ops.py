@@ -244,6 +244,13 @@ def test_layout_classes_keep_the_article():
     assert html_text.extract(page) == "The text is here."
 
 
+def test_short_lines_without_an_article():
+    long = [f"{w} text here, with many words. " * 12 for w in ("Some", "More")]
+    inner = f"<h2>Top</h2><p>By me</p><p>{long[0]}</p><ul><li>a<li>b<li>c<li>d<li>e</ul><div>fig</div><p>{long[1]}</p><p>x</p><p>y</p><p>End</p>"
+    got = html_text.extract(f"<body><div><a href=1>Home</a></div><div>{inner}</div><div class=footer>z</div></body>").split("\n\n")
+    assert got[-13:] == ["Top", "By me", long[0].strip(), "a", "b", "c", "d", "e", "fig", long[1].strip(), "x", "y", "End"]
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(df).collect()
