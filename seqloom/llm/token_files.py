@@ -8,24 +8,34 @@ too, gives each document's place: its id column, start within the shard, n_token
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH, BATCH = 2048, 256
-CACHED_CHUNKS, CACHED_LENGTH = 1_200_000, 40
+#: Texts that one shard holds, in bytes, and what goes to the encoder at once.
+SHARD_BYTES, ENCODED_BYTES = 128 << 20, 8 << 20
+#: Words that a process keeps in each of two generations, and the longest of them; words that the library gets in one text.
+CACHED_WORDS, CACHED_LENGTH, JOINED = 400_000, 40, 2000
+#: Letters that stay one letter each when lower-cased and composed, and punctuation.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0") and c != "\u0130")
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class WhitespaceEncoder:
     """Encodes whole texts by a tokenizers file whose normaliser and pre-tokenizer never look across white space.
 
-    Texts are cut at ASCII white space; only chunks that this process hasn't seen go to the library.
+    Texts are cut at ASCII white space, and each distinct chunk of a batch is looked up once. Where the file lower-cases, cuts words
+    from punctuation and marks the last token of each word, a word goes to the library apart from the punctuation behind it and beside
+    many others, as the marks tell their tokens apart. Other chunks go to the library by themselves.
     """
 
     def __init__(self, path: str):
@@ -37,30 +47,85 @@ class WhitespaceEncoder:
         self.lib.no_padding()
         self.wide = self.lib.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.kind = np.dtype("<u4" if self.wide else "<u2")
-        self.cache: dict[bytes, bytes] = {}
-        probe = ["a  b\nc\td<|endoftext|> e", "<|endoftext|>x"]
-        if self.encode(probe) != [np.array(self.lib.encode(t, add_special_tokens=False).ids, self.kind).tobytes() for t in probe]:
+        suffix, vocab = json.loads(self.lib.to_str())["model"].get("end_of_word_suffix"), self.lib.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.joins = False
+        if not self.agrees(["a  b\nc\td<|endoftext|> e", "<|endoftext|>x"]):
             raise ValueError("this tokenizer looks across white space")
-        self.cache = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > CACHED_CHUNKS:
-            self.cache = {}
-        cut = [t.encode().split() for t in texts]  # bytes split at ASCII white space only
-        look, new = self.cache, set()
-        for c in cut:
-            new.update(c)
-        new -= look.keys()
-        fresh = list(new)
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                look[w] = np.array(e.ids, self.kind).tobytes()
-        out = [b"".join(map(look.__getitem__, c)) for c in cut]
-        for w in fresh:
-            if len(w) > CACHED_LENGTH:
-                del look[w]
-        return out
+        self.recent, self.older = {}, {}
+        if suffix:
+            self.joins = True
+            self.joins = self.agrees([" ".join(f"{c}a{c}{d} {d}A{c}" for c, d in zip(LETTERS, PUNCTUATION * 20)), "don't l'\u00e9t\u00e9, 'tis ''s a's x'' 12a, a1. $$$ (the) THE!?"])
+            self.recent, self.older = {}, {}
+
+    def agrees(self, texts: list[str]) -> bool:
+        ids, counts = self.encode(pa.array(texts))
+        want = [self.lib.encode(t, add_special_tokens=False).ids for t in texts]
+        return counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+    def single(self, pieces: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(pieces), 10_000):
+            for e in self.lib.encode_batch_fast(pieces[i : i + 10_000], add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
+
+    def joined(self, words: list[str]) -> Iterator[bytes]:
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                yield from self.single(part)
+                continue
+            raw, k = ids.astype(self.kind).tobytes(), self.kind.itemsize
+            yield from [raw[k * a : k * b] for a, b in zip([0, *ends], ends)]
+
+    def look(self, pieces: pa.Array, learn) -> pa.Array:
+        """The ids of distinct pieces as bytes."""
+        recent, older, pieces = self.recent, self.older, pieces.to_pylist()
+        if len(recent) > CACHED_WORDS:
+            self.recent, self.older = recent, older = {}, recent
+        out = list(map(recent.get, pieces))
+        at = [i for i, x in enumerate(out) if x is None]
+        if at:
+            new = []
+            for i in at:
+                if (x := older.get(pieces[i])) is None:
+                    new.append(i)
+                else:
+                    out[i] = recent[pieces[i]] = x
+            for i, x in zip(new, learn([pieces[i] for i in new])):
+                out[i] = x
+                if len(pieces[i]) <= CACHED_LENGTH:
+                    recent[pieces[i]] = x
+        return pa.array(out, pa.large_binary())
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind another, and how many each text has; null counts as empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        ends = lists.offsets.to_numpy()
+        words = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        chunks = words.dictionary
+        if self.joins:
+            tail = pc.utf8_ltrim(chunks, LETTERS)
+            plain = pc.and_(pc.equal(pc.utf8_rtrim(tail, PUNCTUATION), ""), pc.not_equal(tail, chunks))
+            body, tail = pc.utf8_lower(pc.utf8_rtrim(chunks.filter(plain), PUNCTUATION)).dictionary_encode(), tail.filter(plain).dictionary_encode()
+            ids = pc.binary_join_element_wise(self.look(body.dictionary, self.joined).take(body.indices), self.look(tail.dictionary, self.single).take(tail.indices), pa.scalar(b"", pa.large_binary()))
+            ids = pc.replace_with_mask(self.none(len(chunks)), plain, ids)
+            ids = pc.replace_with_mask(ids, pc.invert(plain), self.look(chunks.filter(pc.invert(plain)), self.single))
+        else:
+            ids = self.look(chunks, self.single)
+        found = ids.take(words.indices)
+        upto = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+        flat = np.frombuffer(found.buffers()[2], self.kind)[upto[0] // self.kind.itemsize : upto[-1] // self.kind.itemsize] if len(found) else np.zeros(0, self.kind)
+        return flat, np.diff(upto[ends - ends[0]]) // self.kind.itemsize
+
+    @staticmethod
+    def none(n: int) -> pa.Array:
+        return pa.nulls(n, pa.large_binary())
 
 
 def encoder(path: str) -> WhitespaceEncoder:
@@ -68,9 +133,9 @@ def encoder(path: str) -> WhitespaceEncoder:
 
 
 class ShardWriter:
-    """Writes one shard; keeps at most one batch of sequences in memory."""
+    """Writes one shard; keeps at most one batch of sequences, and what one add brings, in memory."""
 
-    def __init__(self, uri: str, kind: np.dtype, length: int = LENGTH, batch: int = BATCH):
+    def __init__(self, uri: str, kind: np.dtype, id_type: pa.DataType, length: int = LENGTH, batch: int = BATCH):
         self.fs, self.at = common.filesystem(uri)
         self.fs.create_dir(os.path.dirname(self.at), recursive=True)
         # a retried or speculative task writes under another name first
@@ -78,24 +143,20 @@ class ShardWriter:
         self.kind, self.length, self.room = kind, length, length * batch
         item = pa.uint16() if kind.itemsize == 2 else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(pa.field("item", item, False), length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), length))])
-        self.sink = self.fs.open_output_stream(self.temp)
-        self.out = pa.ipc.new_stream(self.sink, self.schema)
-        self.held, self.n_held, self.total = [], 0, 0
-        self.ids, self.starts, self.counts = [], [], []
-
-    def add(self, doc, tokens: bytes) -> None:
-        n = len(tokens) // self.kind.itemsize
-        self.ids.append(doc)
-        self.starts.append(self.total)
-        self.counts.append(n)
-        self.held.append(tokens)
-        self.n_held += n
-        self.total += n
-        if self.n_held >= self.room:
-            self.flush(False)
-
-    def flush(self, last: bool) -> None:
-        flat = np.frombuffer(b"".join(self.held), self.kind)
+        self.places = pa.schema([("id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
+        self.sink, self.side = self.fs.open_output_stream(self.temp), self.fs.open_output_stream(self.temp + ".docs")
+        self.out, self.docs = pa.ipc.new_stream(self.sink, self.schema), pa.ipc.new_file(self.side, self.places)
+        self.rest, self.total, self.n_docs = np.zeros(0, kind), 0, 0
+
+    def add(self, ids: pa.Array, tokens: np.ndarray, counts: np.ndarray) -> None:
+        """Documents with these ids, with so many each of the tokens."""
+        starts = self.total + np.cumsum(counts) - counts
+        self.docs.write_batch(pa.record_batch([ids, pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=self.places))
+        self.total += len(tokens)
+        self.n_docs += len(ids)
+        self.flush(np.concatenate([self.rest, tokens]), False)
+
+    def flush(self, flat: np.ndarray, last: bool) -> None:
         whole = len(flat) if last else len(flat) // self.room * self.room
         for i in range(0, whole, self.room):
             part = flat[i : min(i + self.room, whole)]
@@ -103,16 +164,12 @@ class ShardWriter:
             ids = pa.array(np.concatenate([part, np.zeros(pad, self.kind)]) if pad else part)
             mask = pa.array(np.arange(len(part) + pad) < len(part))
             self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(x, type=f.type) for x, f in zip((ids, mask), self.schema)], schema=self.schema))
-        rest = flat[whole:]
-        self.held, self.n_held = [rest.tobytes()] if len(rest) else [], len(rest)
-
-    def close(self, id_type: pa.DataType) -> None:
-        self.flush(True)
-        self.out.close()
-        self.sink.close()
-        places = pa.table([pa.array(self.ids, id_type), pa.array(self.starts, pa.int64()), pa.array(self.counts, pa.int64())], ["id", "start", "n_tokens"])
-        with self.fs.open_output_stream(self.temp + ".docs") as f, pa.ipc.new_file(f, places.schema) as w:
-            w.write_table(places, max_chunksize=50_000)
+        self.rest = flat[whole:].copy()
+
+    def close(self) -> None:
+        self.flush(self.rest, True)
+        for x in (self.out, self.sink, self.docs, self.side):
+            x.close()
         self.fs.move(self.temp + ".docs", self.at + ".docs")
         self.fs.move(self.temp, self.at)
 
@@ -157,29 +214,29 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "
 
     Returns the manifest, one row a shard: shard int, uri string, base long (tokens of all shards before it), n_docs, n_tokens.
     Null texts count as empty (just end_id); null ids come first; rows that share an id follow each other in the order of their
-    texts. An empty table gives an empty manifest. Columns other than the two named ones aren't read.
+    rows and may be cut into several shards, so that no id is too frequent. An empty table gives an empty manifest. Columns other
+    than the two named ones aren't read. There is a shard for each SHARD_BYTES of text, or spark.sql.shuffle.partitions of them.
     The manifest goes by the driver; it has a row for each shard, not for each document.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").withColumn("shard", F.spark_partition_id())
+    rows = common.with_rid(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES), 1)
+    rows = rows.repartitionByRange(parts, "id", "__rid").sortWithinPartitions("id", "__rid").select("id", "text", F.spark_partition_id().alias("shard"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, out = encoder(tokenizer), None
-        end = np.array([end_id], enc.kind).tobytes()
-        for b in common.text_batches(batches, "text", 2 << 20):
+        for b in common.text_batches(batches, "text", ENCODED_BYTES):
             ids = common.column(b, "id")
             if out is None:
                 shard = common.column(b, "shard")[0].as_py()
                 uri = f"{path}/shard-{shard:06d}.arrows"
-                out = ShardWriter(uri, enc.kind, length)
-            for doc, tokens in zip(ids.to_pylist(), enc.encode([x or "" for x in common.column(b, "text").to_pylist()])):
-                out.add(doc, tokens + end)
-            id_type = ids.type
+                out = ShardWriter(uri, enc.kind, ids.type, length)
+            tokens, counts = enc.encode(common.column(b, "text"))
+            out.add(ids, np.insert(tokens, np.cumsum(counts), end_id), counts + 1)
         if out is not None:
-            out.close(id_type)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(out.ids)], pa.int64()), pa.array([out.total], pa.int64())], ["shard", "uri", "n_docs", "n_tokens"])
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([out.n_docs], pa.int64()), pa.array([out.total], pa.int64())], ["shard", "uri", "n_docs", "n_tokens"])
 
     done = sorted(rows.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long").collect())
     base, out = 0, []

@@ -281,6 +281,35 @@ def test_bpe_speculates_and_verifies():
         assert bool(m.compatible(pairs[:, 0], pairs[:, 1]).all()) == (x == e)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.characters(max_codepoint=0x2FF), st.sampled_from("  \n\taeiounstISÉİß'.,!12<|endoftext|>")), max_size=80), max_size=4))
+def test_word_encoder_of_any_text(texts):
+    e = token_files.encoder(CLIP)
+    assert e.joins and e.agrees([*texts, "", "Plain words, of which several. stand here"])
+    assert e.agrees([" ".join(texts), "".join(texts).upper()])
+
+
+def test_word_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHED_WORDS", 3)
+    monkeypatch.setattr(token_files, "JOINED", 2)
+    e = token_files.WhitespaceEncoder(CLIP)
+    for k in range(6):
+        assert e.agrees([f"some words {k} that, word{'x' * k}! come back again. " * 2, "x" * 50])
+
+
+def test_equal_ids_go_to_several_shards(spark, tmp_path):
+    at = str(tmp_path / "t")
+    spark.createDataFrame([(None if i % 2 else 5, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(3).write.parquet(at)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        manifest = token_files.write(spark.read.parquet(at), f"file://{tmp_path}/s", CLIP, 1).cache()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert max(r["n_docs"] for r in manifest.collect()) < 120
+    got = sorted((r["start"], r["id"], r["n_tokens"]) for r in token_files.read(manifest).collect())
+    assert [d for _, d, _ in got] == [None] * 200 + [5] * 200 and [s for s, _, _ in got] == np.cumsum([0, *[n for _, _, n in got[:-1]]]).tolist()
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     lib = Tokenizer.from_file(CLIP)
     at = f"file://{tmp_path}/tokens"
