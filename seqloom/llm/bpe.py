@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +21,12 @@ from . import common
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space beside white space.
-BESIDE = [p for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for p in dict.fromkeys((c + " ", " " + c))]
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BESIDE = f"{WHITE} | {WHITE}"
+NOTHING = pa.scalar(b"", pa.large_binary())
 NEVER = np.iinfo(np.int64).max
-CACHED_WORDS, CACHED_CHUNKS, CACHED_LENGTH = 100_000, 200_000, 48
+#: Strings that a process keeps in each of two generations, and the longest of them; bytes of text that are encoded at once.
+CACHED, CACHED_LENGTH, ENCODED_BYTES = 150_000, 48, 4 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -86,8 +90,8 @@ class ByteBpe:
             self.by_id[i] = b
         for t, i in self.special.items():
             self.by_id[i] = t.encode()
-        self.cache: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.token_bytes = pa.array(self.by_id, pa.large_binary())
+        self.seen = common.Seen(CACHED, CACHED_LENGTH)
         self.exact_words = self.new_words = 0
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
@@ -249,56 +253,79 @@ class ByteBpe:
         self.exact_words += len(failing)
         return out
 
-    def encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of texts that are cut at each white space that surely ends a word, by way of the distinct words."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache = {}
-        cut = [self.words(p) for p in parts]
-        new = list({w for ws in cut for w in ws if w not in self.cache})
-        fresh = dict(zip(new, self.learn(new))) if new else {}
-        self.cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH)
-        return [b"".join([fresh.get(w) or self.cache[w] for w in ws]) for ws in cut]
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of texts that are cut where words surely end, by way of their distinct words."""
+        cut = list(map(self.words, chunks))
+        words = list({w for ws in cut for w in ws})
+        known = dict(zip(words, self.seen(words, self.learn)))
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text.
+    def encode_odd(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with added tokens, or with white space beside a space, where the pattern must see whole texts."""
+        cut = [[x for x in self.cut(t) if x] if self.cut else [t] for t in texts]
+        pieces = list({x for c in cut for x in c if x not in self.special})
+        known = dict(zip(pieces, self.encode_chunks(pieces))) | {t: i.to_bytes(4, "little") for t, i in self.special.items()}
+        return [b"".join(map(known.__getitem__, c)) for c in cut]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as little-endian 32-bit bytes; null counts as empty.
 
         A space between two characters that aren't white space begins a word, whatever stands around them. So texts are split
-        there, and only chunks that weren't seen before go on to the pattern and the merges.
+        there, and each distinct chunk of a batch is looked up once: a chunk of letters and the punctuation behind it as two words, any
+        other by the pattern. Words that weren't seen before are matched and merged.
         """
-        if len(self.chunks) > CACHED_CHUNKS:
-            self.chunks = {}
-        plan: list[list[list[str] | bytes]] = []
-        new: set[str] = set()
-        for t in texts:
-            if any(s in t for s in self.special):
-                pieces = [self.special[x].to_bytes(4, "little") if x in self.special else x for x in self.cut(t) if x]
-            else:
-                pieces = [t] if t else []
-            for i, x in enumerate(pieces):
-                if isinstance(x, str):
-                    if any(p in x for p in BESIDE):  # white space beside a space: the pattern sees the whole piece
-                        chunks = [x]
-                    else:
-                        first, *rest = x.split(" ")
-                        chunks = [first, *map(" ".__add__, rest)]
-                    pieces[i] = chunks
-                    new.update(chunks)
-            plan.append(pieces)
-        new -= self.chunks.keys()
-        look = self.chunks
-        fresh = list(new)
-        for a in range(0, len(fresh), 100_000):
-            part = fresh[a : a + 100_000]
-            look.update(zip(part, self.encode_parts(part)))
-        out = [b"".join([x if isinstance(x, bytes) else b"".join(map(look.__getitem__, x)) for x in p]) for p in plan]
-        for w in fresh:
-            if len(w) > CACHED_LENGTH:
-                del look[w]
-        return out
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, BESIDE)
+        for t in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        lists = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+        ends = ends - ends[0]
+        words = flat.dictionary_encode()
+        chunks, first = words.dictionary, flat.take(pa.array(ends[:-1])).dictionary_encode()  # a text's first chunk has no space before it
+        plain, body, tail = common.apart(chunks)
+        body, tail = body.dictionary_encode(), tail.dictionary_encode()
+        spaced = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), body.dictionary, pa.scalar("", pa.large_string())).to_pylist()
+        found = [self.ids_of(self.seen(x, self.learn)).take(y.indices) for x, y in ((spaced, body), (tail.dictionary.to_pylist(), tail))]
+        ids = pc.replace_with_mask(pa.nulls(len(chunks), pa.large_binary()), plain, pc.binary_join_element_wise(*found, NOTHING))
+        other = [" " + x for x in chunks.filter(pc.invert(plain)).to_pylist()]
+        ids = pc.replace_with_mask(ids, pc.invert(plain), self.ids_of(self.seen(other, self.encode_chunks)))
+        at = words.indices.to_numpy().copy()
+        at[ends[:-1]] = len(chunks) + first.indices.to_numpy()
+        ids = pa.concat_arrays([ids, self.ids_of(self.seen(first.dictionary.to_pylist(), self.encode_chunks))]).take(pa.array(at))
+        even = self.strung(ids, ends, pa.large_binary())
+        if not pc.any(odd).as_py():
+            return even
+        out = pc.replace_with_mask(pa.nulls(len(texts), pa.large_binary()), pc.invert(odd), even)
+        return pc.replace_with_mask(out, odd, self.ids_of(self.encode_odd(texts.filter(odd).to_pylist())))
+
+    @staticmethod
+    def ids_of(values: list[bytes]) -> pa.Array:
+        return pa.array(values, pa.large_binary())
+
+    @staticmethod
+    def strung(values: pa.Array, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+        """What lies between these ends in an array of bytes, strung together."""
+        _, offsets, data = values.buffers()
+        upto = np.frombuffer(offsets, np.int64, len(values) + 1, 8 * values.offset) if offsets else np.zeros(1, np.int64)
+        return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(upto[ends].tobytes()), data if data is not None else pa.py_buffer(b"")])
 
-    def decode(self, ids: bytes) -> str:
-        by = self.by_id
-        return b"".join([by[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        return self.encode(pa.array(texts, pa.large_string())).to_pylist()
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """The texts of little-endian 32-bit ids; null for null. Bytes that aren't UTF-8 are replaced."""
+        raw = pc.fill_null(ids.cast(pa.large_binary()), b"")
+        ends = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset) // 4
+        data = raw.buffers()[2]
+        flat = np.frombuffer(data, "<u4", ends[-1]) if data is not None else np.zeros(0, np.uint32)
+        out = self.strung(self.token_bytes.take(pa.array(flat[ends[0] :])), ends - ends[0], pa.large_string())
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([x.decode("utf-8", "replace") for x in out.view(pa.large_binary()).to_pylist()], pa.large_string())
+        return pc.if_else(pc.is_null(ids), pa.scalar(None, pa.large_string()), out) if ids.null_count else out
 
 
 def model(path: str) -> ByteBpe:
@@ -315,12 +342,12 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in common.text_batches(batches, "__text", 2 << 20):
-            ids = m.encode_batch([x or "" for x in common.column(b, "__text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([common.column(b, id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+        for b in common.text_batches(batches, "__text", ENCODED_BYTES):
+            ids = m.encode(common.column(b, "__text"))
+            yield pa.RecordBatch.from_arrays([common.column(b, id_col), pc.divide(pc.binary_length(ids), 4), ids.cast(pa.binary())], [id_col, "n_tokens", "ids"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary")
+    return common.in_arrow(rows, run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary")
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -331,11 +358,10 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = model(path)
         for b in common.text_batches(batches, ids_col, 8 << 20):
-            texts = [None if x is None else by.decode(x) for x in common.column(b, ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, by.decode(common.column(b, ids_col)).cast(pa.string())], [*b.schema.names, out_col])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInArrow(run, f"{schema}, `{out_col}` string")
+    return common.in_arrow(rows, run, f"{schema}, `{out_col}` string")
 
 
 def roundtrip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,12 +369,12 @@ def roundtrip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in common.text_batches(batches, "__text", 2 << 20):
-            ids = m.encode_batch([x or "" for x in common.column(b, "__text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([common.column(b, id_col), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(list(map(m.decode, ids)), pa.string())], [id_col, "n_tokens", "ids", "decoded"])
+        for b in common.text_batches(batches, "__text", ENCODED_BYTES):
+            ids = m.encode(common.column(b, "__text"))
+            yield pa.RecordBatch.from_arrays([common.column(b, id_col), pc.divide(pc.binary_length(ids), 4), ids.cast(pa.binary()), m.decode(ids).cast(pa.string())], [id_col, "n_tokens", "ids", "decoded"])
 
     rows = df.select(F.col(id_col), F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary, decoded string")
+    return common.in_arrow(rows, run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_tokens long, ids binary, decoded string")
 
 
 def roundtrip_digest(df: DataFrame, path: str) -> DataFrame:

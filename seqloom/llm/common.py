@@ -2,51 +2,30 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import os
-import shutil
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a narrow table (keys and counters, at most 48 bytes a row) that may be broadcast.
+from ..session import shared_dir, written  # noqa: F401
+
+#: Rows of a narrow table (keys and counters) that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Bytes of a batch that Spark and a Python worker hold at once, beside a single longer row.
+BATCH_BYTES, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 #: Keys that may each hold over a thousandth of all rows: at most a thousand, so always small.
 HOT_SHARE = 1000
 
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, a temporary one, in local mode only."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "")
-    if at:
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if "at" not in _local:
-        _local["at"] = tempfile.mkdtemp(prefix="seqloom-")
-        atexit.register(shutil.rmtree, _local["at"], ignore_errors=True)
-    return f"file://{_local['at']}"
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/seqloom-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written to the shared folder and read again: its lineage is cut, and it survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -118,12 +97,69 @@ _tool: list = []
 
 def release() -> None:
     """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow in batches of bounded size; a worker that is done with its part gives freed memory back, as it may idle for long.
+
+    The session's own limit on batches is kept where it is lower.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_BYTES).rstrip("b")) <= BATCH:
+        conf.set(BATCH_BYTES, str(BATCH))
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(lean, schema)
+
+
+#: Letters that stay one letter each when lower-cased and composed, and punctuation.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0") and c != "\u0130")
+PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+
+
+def apart(chunks: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """Which chunks are letters with nothing but punctuation behind them; these letters and this punctuation (not of the others)."""
+    tail = pc.utf8_ltrim(chunks, LETTERS)
+    plain = pc.and_(pc.equal(pc.utf8_rtrim(tail, PUNCTUATION), ""), pc.not_equal(tail, chunks))
+    return plain, pc.utf8_rtrim(chunks.filter(plain), PUNCTUATION), tail.filter(plain)
+
+
+class Seen:
+    """Values of strings, of which two generations are kept: what is asked for goes to the recent one, and the older one goes when that is full."""
+
+    def __init__(self, most: int, longest: int):
+        self.most, self.longest = most, longest
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def __call__(self, strings: list[str], learn: Callable[[list[str]], Iterator[bytes]]) -> list[bytes]:
+        """The values of distinct strings; learn gives those of new ones."""
+        if len(self.recent) > self.most:
+            self.recent, self.older = {}, self.recent
+        recent, older = self.recent, self.older
+        out = list(map(recent.get, strings))
+        new = []
+        for i in [i for i, x in enumerate(out) if x is None]:
+            if (x := older.get(strings[i])) is None:
+                new.append(i)
+            else:
+                out[i] = recent[strings[i]] = x
+        if new:
+            for i, x in zip(new, learn([strings[i] for i in new])):
+                out[i] = x
+                if len(strings[i]) <= self.longest:
+                    recent[strings[i]] = x
+        return out
+
+
 def tool(kind, *args):
     """kind(*args), kept in this process until another one is asked for. Workers serve many operators, and each tool's caches are
     large; only one tool may hold memory at a time."""

@@ -114,7 +114,7 @@ def repeated_fingerprints(df: DataFrame, fp: str, rows: int) -> DataFrame:
         twice = counts > 1
         yield pa.RecordBatch.from_arrays([pa.array(prints[twice].view(np.int64)), pa.array(counts[twice], pa.int64())], ["fp", "n"])
 
-    filters = df.select(F.col(fp).alias("fp")).mapInArrow(build, "block long, filter binary")
+    filters = common.in_arrow(df.select(F.col(fp).alias("fp")), build, "block long, filter binary")
     return filters.groupBy("block").applyInArrow(combine, "fp long, n long")
 
 

@@ -234,4 +234,4 @@ def extract_pages(df: DataFrame, html_col: str = "html", keys: tuple[str, ...] =
 
     rows = df.select(*keys, F.col(html_col).cast("string").alias("__html"))
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string, n_chars long")
+    return common.in_arrow(rows, run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", text string, n_chars long")

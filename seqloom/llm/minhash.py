@@ -140,7 +140,7 @@ def signatures(rows: DataFrame, bands: int = BANDS, per_band: int = ROWS) -> Dat
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(sketch, pa.binary())], ["__rid", "id", "n_shingles", "h1", "h2", "bands", "sketch"])
 
     schema = T.StructType([T.StructField("__rid", T.LongType()), T.StructField("id", id_type), T.StructField("n_shingles", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-    return rows.mapInArrow(run, schema)
+    return common.in_arrow(rows, run, schema)
 
 
 def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -182,7 +182,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                     v_out.append(rid)
             yield pa.RecordBatch.from_arrays([pa.array(u_out, pa.int64()), pa.array(v_out, pa.int64())], ["u", "v"])
 
-    return streamed.select("u", "fan", "__rid", "first", "text").mapInArrow(run, "u long, v long")
+    return common.in_arrow(streamed.select("u", "fan", "__rid", "first", "text"), run, "u long, v long")
 
 
 def apart(placed: DataFrame, percent: int) -> DataFrame:
@@ -207,7 +207,7 @@ def similar(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                 keep = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([common.column(b, "u").filter(keep), common.column(b, "v").filter(keep)], ["u", "v"])
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return common.in_arrow(both.select("u", "v", "a", "b"), run, "u long, v long")
 
 
 def components_of(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

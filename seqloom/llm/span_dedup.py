@@ -154,7 +154,7 @@ def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest
             flat = pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.ListArray.from_arrays(ends, flat)], ["__rid", "id", "runs"])
 
-    hashed = common.written(rows.mapInArrow(hash_, f"__rid long, id {kind}, runs array<long>"), "runs")
+    hashed = common.written(common.in_arrow(rows, hash_, f"__rid long, id {kind}, runs array<long>"), "runs")
     runs = hashed.select("__rid", F.posexplode("runs").alias("pos", "run")).where("run <> 0")  # narrow: ids follow below
     repeated = common.written(runs.groupBy("run").agg(F.count("*").alias("k")).where("k > 1"), "repeated")
     total = repeated.agg(F.sum("k")).first()[0] or 0
@@ -170,7 +170,7 @@ def clean(df: DataFrame, run: int = RUN, least_words: int = LEAST_WORDS, longest
             done = [(None, 0, []) if t is None else cut_passages(t, s or [], run, least_words, longest) if whole else cut(t, s or [], run, longest) for t, s in zip(common.column(b, "text").to_pylist(), common.column(b, "starts").to_pylist())]
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.array([n for _, n, _ in done], pa.int32()), pa.array([g for _, _, g in done], pa.list_(pa.int32())), pa.array([len(g) for _, _, g in done], pa.int32()), pa.array([t for t, _, _ in done], pa.string())], ["__rid", "id", "n_units", "removed", "n_removed", "text"])
 
-    done = rows.join(starts, "__rid", "left").select("__rid", "id", "text", "starts").mapInArrow(cut_, f"__rid long, id {kind}, n_units int, removed array<int>, n_removed int, text string")
+    done = common.in_arrow(rows.join(starts, "__rid", "left").select("__rid", "id", "text", "starts"), cut_, f"__rid long, id {kind}, n_units int, removed array<int>, n_removed int, text string")
     return done.withColumnRenamed("id", id_col) if id_col not in ("text", "removed", "n_units", "n_removed") else done
 
 

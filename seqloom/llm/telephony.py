@@ -21,7 +21,6 @@ from . import common
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima_adpcm"}
 BLOCK = 64  # bytes of an ADPCM block: 4 of header, 60 of two samples each
-BATCH_BYTES, MOST = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 PER_BLOCK = 1 + 2 * (BLOCK - 4)
 
 
@@ -147,7 +146,7 @@ def decode(df: DataFrame, media_col: str = "media", out_col: str = "pcm", rate:
             files = [None if x is None else parse(x) for x in common.column(b, media_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(pcm_files(files, rate), pa.binary())], [*b.schema.names, out_col])
 
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out_col}` binary")
+    return common.in_arrow(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out_col}` binary")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,7 +166,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([common.column(b, id_col), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
 
     rows = df.select(id_col, F.col(text_col).cast("string").alias("__text"))
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_bytes long, media binary")
+    return common.in_arrow(rows, run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_bytes long, media binary")
 
 
 def described(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -183,7 +182,7 @@ def described(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "codec", "pcm"],
             )
 
-    return stored.select(id_col, "n_bytes", "media").mapInArrow(run, f"`{id_col}` {dict(stored.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary")
+    return common.in_arrow(stored.select(id_col, "n_bytes", "media"), run, f"`{id_col}` {dict(stored.dtypes)[id_col]}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, codec string, pcm binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -200,11 +199,9 @@ def features(stored: DataFrame) -> DataFrame:
                 feature.append(f"{name} samples={len(x)} rms={np.sqrt(np.dot(y, y) / len(y)):.3f} peak={int(np.abs(x.astype(np.int32)).max())} crossings={int((signs[1:] != signs[:-1]).sum())} crc={zlib.crc32(x.tobytes()):08x}")
             yield pa.RecordBatch.from_arrays([*(common.column(b, c) for c in kept), pa.array(feature, pa.string())], [*kept, "feature"])
 
-    return stored.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in stored.dtypes[:-2]) + ", feature string")
+    return common.in_arrow(stored, run, ", ".join(f"`{c}` {t}" for c, t in stored.dtypes[:-2]) + ", feature string")
 
 
 def digest(df: DataFrame) -> DataFrame:
     """Stores every text as audio, then its resampled PCM, in tables of the shared folder and describes what is read back from them."""
-    if int(df.sparkSession.conf.get(BATCH_BYTES).rstrip("b")) > MOST:  # PCM is large: ten thousand rows may not go to a worker at once
-        df.sparkSession.conf.set(BATCH_BYTES, str(MOST))
     return features(common.written(described(common.written(pack(df), "media")), "pcm"))

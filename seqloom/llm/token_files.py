@@ -25,9 +25,6 @@ LENGTH, BATCH = 2048, 256
 SHARD_BYTES, ENCODED_BYTES = 128 << 20, 8 << 20
 #: Words that a process keeps in each of two generations, and the longest of them; words that the library gets in one text.
 CACHED_WORDS, CACHED_LENGTH, JOINED = 400_000, 40, 2000
-#: Letters that stay one letter each when lower-cased and composed, and punctuation.
-LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and (c.isascii() or c >= "\u00c0") and c != "\u0130")
-PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 
 
 class WhitespaceEncoder:
@@ -51,16 +48,12 @@ class WhitespaceEncoder:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
             self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.joins = False
+        self.seen, self.joins = common.Seen(CACHED_WORDS, CACHED_LENGTH), False
         if not self.agrees(["a  b\nc\td<|endoftext|> e", "<|endoftext|>x"]):
             raise ValueError("this tokenizer looks across white space")
-        self.recent, self.older = {}, {}
         if suffix:
             self.joins = True
-            self.joins = self.agrees([" ".join(f"{c}a{c}{d} {d}A{c}" for c, d in zip(LETTERS, PUNCTUATION * 20)), "don't l'\u00e9t\u00e9, 'tis ''s a's x'' 12a, a1. $$$ (the) THE!?"])
-            self.recent, self.older = {}, {}
+            self.joins = self.agrees([" ".join(f"{c}a{c}{d} {d}A{c}" for c, d in zip(common.LETTERS, common.PUNCTUATION * 20)), "don't l'\u00e9t\u00e9, 'tis ''s a's x'' 12a, a1. $$$ (the) THE!?"])
 
     def agrees(self, texts: list[str]) -> bool:
         ids, counts = self.encode(pa.array(texts))
@@ -85,23 +78,7 @@ class WhitespaceEncoder:
 
     def look(self, pieces: pa.Array, learn) -> pa.Array:
         """The ids of distinct pieces as bytes."""
-        recent, older, pieces = self.recent, self.older, pieces.to_pylist()
-        if len(recent) > CACHED_WORDS:
-            self.recent, self.older = recent, older = {}, recent
-        out = list(map(recent.get, pieces))
-        at = [i for i, x in enumerate(out) if x is None]
-        if at:
-            new = []
-            for i in at:
-                if (x := older.get(pieces[i])) is None:
-                    new.append(i)
-                else:
-                    out[i] = recent[pieces[i]] = x
-            for i, x in zip(new, learn([pieces[i] for i in new])):
-                out[i] = x
-                if len(pieces[i]) <= CACHED_LENGTH:
-                    recent[pieces[i]] = x
-        return pa.array(out, pa.large_binary())
+        return pa.array(self.seen(pieces.to_pylist(), learn), pa.large_binary())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one behind another, and how many each text has; null counts as empty."""
@@ -110,11 +87,10 @@ class WhitespaceEncoder:
         words = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         chunks = words.dictionary
         if self.joins:
-            tail = pc.utf8_ltrim(chunks, LETTERS)
-            plain = pc.and_(pc.equal(pc.utf8_rtrim(tail, PUNCTUATION), ""), pc.not_equal(tail, chunks))
-            body, tail = pc.utf8_lower(pc.utf8_rtrim(chunks.filter(plain), PUNCTUATION)).dictionary_encode(), tail.filter(plain).dictionary_encode()
+            plain, body, tail = common.apart(chunks)
+            body, tail = pc.utf8_lower(body).dictionary_encode(), tail.dictionary_encode()
             ids = pc.binary_join_element_wise(self.look(body.dictionary, self.joined).take(body.indices), self.look(tail.dictionary, self.single).take(tail.indices), pa.scalar(b"", pa.large_binary()))
-            ids = pc.replace_with_mask(self.none(len(chunks)), plain, ids)
+            ids = pc.replace_with_mask(pa.nulls(len(chunks), pa.large_binary()), plain, ids)
             ids = pc.replace_with_mask(ids, pc.invert(plain), self.look(chunks.filter(pc.invert(plain)), self.single))
         else:
             ids = self.look(chunks, self.single)
@@ -123,10 +99,6 @@ class WhitespaceEncoder:
         flat = np.frombuffer(found.buffers()[2], self.kind)[upto[0] // self.kind.itemsize : upto[-1] // self.kind.itemsize] if len(found) else np.zeros(0, self.kind)
         return flat, np.diff(upto[ends - ends[0]]) // self.kind.itemsize
 
-    @staticmethod
-    def none(n: int) -> pa.Array:
-        return pa.nulls(n, pa.large_binary())
-
 
 def encoder(path: str) -> WhitespaceEncoder:
     return common.tool(WhitespaceEncoder, path)
@@ -238,7 +210,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([out.n_docs], pa.int64()), pa.array([out.total], pa.int64())], ["shard", "uri", "n_docs", "n_tokens"])
 
-    done = sorted(rows.mapInArrow(run, "shard int, uri string, n_docs long, n_tokens long").collect())
+    done = sorted(common.in_arrow(rows, run, "shard int, uri string, n_docs long, n_tokens long").collect())
     base, out = 0, []
     for r in done:
         out.append((r.shard, r.uri, base, r.n_docs, r.n_tokens))
@@ -261,7 +233,7 @@ def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
                         yield pa.RecordBatch.from_arrays([docs.column(0).slice(i, j - i), pa.array([base + a for a in starts[i:j]], pa.int64()), docs.column(2).slice(i, j - i), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids"])
 
     n = max(manifest.count(), 1)
-    return manifest.select("uri", "base").repartition(n, "uri").mapInArrow(run, f"id {id_type}, start long, n_tokens long, ids binary")
+    return common.in_arrow(manifest.select("uri", "base").repartition(n, "uri"), run, f"id {id_type}, start long, n_tokens long, ids binary")
 
 
 def sequences(manifest: DataFrame) -> DataFrame:
@@ -276,7 +248,7 @@ def sequences(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array(range(at, at + n), pa.int64()), x.column(0).cast(pa.list_(pa.int32())), x.column(1).cast(pa.list_(pa.bool_()))], ["shard", "sequence", "ids", "mask"])
                     at += n
 
-    return manifest.select("uri", "shard").mapInArrow(run, "shard int, sequence long, ids array<int>, mask array<boolean>")
+    return common.in_arrow(manifest.select("uri", "shard"), run, "shard int, sequence long, ids array<int>, mask array<boolean>")
 
 
 def file_digest(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> DataFrame:

@@ -291,7 +291,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), common.column(b, "id"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["__rid", "id", "score", "predicted"])
 
     rows = common.with_rid(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
-    out = rows.mapInArrow(run, f"__rid long, id {dict(rows.dtypes)['id']}, score double, predicted int")
+    out = common.in_arrow(rows, run, f"__rid long, id {dict(rows.dtypes)['id']}, score double, predicted int")
     return out.select("__rid", F.col("id").alias(id_col), "score", "predicted")
 
 
