@@ -1,60 +1,59 @@
-"""The relevance filter: which sequences an expression accepts, as a regular expression over classes of items.
+"""The relevance filter: which sequences an expression accepts, by a deterministic automaton over classes of items.
 
-Only the set of labels that an item satisfies matters for acceptance. Each such set becomes a character; a sequence becomes a string; the
-expression, with captures and outputs left out, becomes a Java regular expression. All of it stays in the JVM.
+Only the set of labels that an item satisfies matters for acceptance. Each such set is a class, a small number; the transducer, with
+outputs left out, is made deterministic over the classes on the driver, and a fold over the items' classes runs it inside the JVM,
+one step an item, so that sequences may have any length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.automaton import Dfa
 from ..plans.compiled import Compiled, outputs
-from ..plans.patex import Alt, Capture, Cat, Dot, Item, Rep
-
-#: The first character used for a class; the private use area has no special meaning to regular expressions.
-FIRST = 0xE000
-
-
-def pattern(c: Compiled, classes: list[frozenset[int]]) -> str:
-    number = {a: i for i, a in enumerate(c.fst.labels)}
-
-    def step(label) -> str:
-        i = number.get(label)
-        chars = "".join(chr(FIRST + k) for k, s in enumerate(classes) if i is not None and i in s)
-        return f"[{chars}]" if chars else r"[^\s\S]"
-
-    def go(e, captured: bool) -> str:
-        if isinstance(e, Capture):
-            return go(e.part, True)
-        if isinstance(e, Cat):
-            return "".join(go(p, captured) for p in e.parts)
-        if isinstance(e, Alt):
-            return "(?:" + "|".join(go(p, captured) for p in e.parts) + ")"
-        if isinstance(e, Rep):
-            return f"(?:{go(e.part, captured)}){{{e.low},{'' if e.high is None else e.high}}}"
-        assert isinstance(e, (Dot, Item))
-        return step(c.label(e, captured))
+from ..session import join_items, written
 
-    return ("^" if c.tree.start else "") + "(?:" + go(c.tree.root, False) + ")" + (r"\z" if c.tree.end else "")
+#: Entries of the automaton's table that go with the plan; a larger one is made as it is used, in Python workers.
+TARGETS = 20_000
 
 
 def accepted(sequences: DataFrame, c: Compiled, support: int | None) -> DataFrame:
-    """Sequences (with all their columns) that have an accepting run; a dictionary of any size, up to 6000 classes."""
+    """Sequences (with all their columns) that have an accepting run; a dictionary of any size. Unknown items raise an error."""
     table = outputs(c.dictionary, c.fst.labels, support)
-    sets = table.select("gid", F.expr("filter(transform(outs, (o, i) -> IF(o IS NULL, -1, i)), i -> i >= 0)").alias("set"))
+    sets = written(table.select("gid", F.expr("filter(transform(outs, (o, i) -> IF(o IS NULL, -1, i)), i -> i >= 0)").alias("set")), "sets")
     found = sorted(tuple(r["set"]) for r in sets.select("set").distinct().collect())  # at most 2 ** labels, in practice few
-    classes = [frozenset(s) for s in found]
-    if len(found) > 6000:
-        raise ValueError("too many classes of items")
-    known = sequences.sparkSession.createDataFrame([(list(s), chr(FIRST + k)) for k, s in enumerate(found)], "set array<int>, class string")
-    chars = sets.join(F.broadcast(known), "set").select("gid", "class")
-    coded = sequences.withColumn("__class", F.col("items"))
-    if c.dictionary.size() <= 20_000:
-        one = chars.agg(F.map_from_entries(F.collect_list(F.struct("gid", "class"))).alias("__map"))
-        coded = coded.crossJoin(F.broadcast(one)).withColumn("__class", F.expr("array_join(transform(items, x -> __map[x]), '')")).drop("__map")
+    classes = [frozenset(s) for s in found] or [frozenset()]
+    known = sequences.sparkSession.createDataFrame([(list(s), k) for k, s in enumerate(found)], "set array<int>, class int")
+    of = sets.join(F.broadcast(known), "set").select("gid", "class")
+    missing = F.raise_error(F.lit("an item that the dictionary lacks")).cast("int")
+    one = c.dictionary.by_gid(of, "class")
+    if one is not None:
+        coded = sequences.crossJoin(F.broadcast(one)).withColumn("__class", F.transform(F.coalesce("items", F.array().cast("array<int>")), lambda x: F.coalesce(F.try_element_at("__at", x + 1), missing))).drop("__at")
     else:
-        keyed = sequences.withColumn("__s", F.monotonically_increasing_id())
-        text = keyed.select("__s", F.posexplode("items").alias("pos", "gid")).join(chars, "gid").groupBy("__s").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "class"))), lambda x: x["class"]), "").alias("__class"))
-        coded = keyed.join(text, "__s", "left").withColumn("__class", F.coalesce("__class", F.lit(""))).drop("__s")
-    return coded.where(F.col("__class").rlike(pattern(c, classes))).drop("__class")
+        keyed = written(sequences.withColumn("__s", F.monotonically_increasing_id()), "keyed")
+        each = join_items(keyed.select("__s", F.posexplode("items").alias("pos", "gid")), of, "gid", "class").withColumn("class", F.coalesce("class", missing))
+        lists = each.groupBy("__s").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "class"))), lambda x: x["class"]).alias("__class"))
+        coded = keyed.join(lists, "__s", "left").withColumn("__class", F.coalesce("__class", F.array().cast("array<int>"))).drop("__s")
+    made = Dfa(c.fst).table(classes, TARGETS)
+    if made is None:
+        return _in_workers(coded, c, classes)
+    targets, accept = made
+    k = len(classes)
+    end = F.expr(f"aggregate(__class, 0, (s, x) -> element_at(array({', '.join(map(str, targets))}), s * {k} + x + 1))")
+    return coded.where(end.isin([i for i, a in enumerate(accept) if a])).drop("__class")
+
+
+def _in_workers(coded: DataFrame, c: Compiled, classes: list[frozenset[int]]) -> DataFrame:
+    fst = c.fst
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dfa = Dfa(fst)
+        for b in batches:
+            at = b.schema.get_field_index("__class")
+            yield b.filter(pa.array([dfa.accepts([classes[x] for x in seq]) for seq in b.column(at).to_pylist()], pa.bool_()))
+
+    return coded.mapInArrow(run, coded.schema).drop("__class")

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.patex import Item, PatExError
-from ..session import small, written
+from ..session import join_items, small, written
 
 SCHEMA = "gid int, sid string, dfreq bigint, cfreq bigint, parents array<int>, properties map<string,string>, fid int"
 MAX_DEPTH = 1000
+#: Places of an array by gid that may go to every executor, and items that a map may hold, which is searched from its start.
+PLACES, MAPPED = 500_000, 200
 
 
 class DictionaryError(ValueError):
@@ -96,6 +98,15 @@ class Dictionary:
 
     # structure
 
+    def by_gid(self, table: DataFrame, value: str, per_item: int = 1) -> DataFrame | None:
+        """One row with an array that holds, at gid + 1, what a table (gid, value) has for the gid, for a broadcast; None if gids are too
+        large or too sparse for that. per_item: how many numbers a value may have on average."""
+        top = self.items.agg(F.max("gid")).first()[0]
+        if top is None or (top + 1) * per_item > PLACES or top > 4 * self.size() + 1000:
+            return None
+        places = self.spark.range(top + 1).select(F.col("id").cast("int").alias("gid")).join(table.select("gid", value), "gid", "left")
+        return places.agg(F.transform(F.sort_array(F.collect_list(F.struct("gid", F.struct(value).alias("v")))), lambda x: x["v"][value]).alias("__at"))
+
     def size(self) -> int:
         if self._size is None:
             self._size = self.items.count()
@@ -254,31 +265,32 @@ class Dictionary:
     def translate(self, df: DataFrame, column: str, to: str, of: str = "gid", key: str = "__row", unknown: str = "error") -> DataFrame:
         """df with an array column of one kind of identifiers replaced by another kind's. Unknown ones are an error, dropped, or -1.
 
-        Small dictionaries go to all executors as a map; large ones are joined item by item.
+        Where ids are gids that fit an array, or there are few items, a table goes to all executors; else items are joined.
         """
-        if unknown == "error":
-            missing = lambda x: F.raise_error(F.concat(F.lit(f"unknown {of} "), x.cast("string")))
         kind = dict(self.items.dtypes)[to]
-        if self.size() <= 20_000:
+        if unknown == "error":
+            missing = lambda x: F.raise_error(F.concat(F.lit(f"unknown {of} "), F.coalesce(x.cast("string"), F.lit("null")))).cast(kind)
+        table, at = None, None
+        if self.size() <= MAPPED:
             rows = self.items.select(of, to).collect()
-            table = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])]) if rows and len(rows) <= 200 else None
-            if table is None:
-                one = self.items.agg(F.map_from_entries(F.collect_list(F.struct(of, to))).alias("__map"))
-                df = df.crossJoin(F.broadcast(one))  # a single row
-                table = F.col("__map")
-            found = F.transform(column, lambda x: F.try_element_at(table, x))
+            table = F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])]) if rows else F.create_map().cast(f"map<{dict(self.items.dtypes)[of]},{kind}>")
+            look = lambda x: F.try_element_at(table, x)
+        elif of == "gid" and (at := self.by_gid(self.items, to)) is not None:
+            df = df.crossJoin(F.broadcast(at))  # a single row
+            look = lambda x: F.when(x >= 0, F.try_element_at("__at", x + 1))
+        if table is not None or at is not None:
             if unknown == "error":
-                found = F.transform(column, lambda x: F.coalesce(F.try_element_at(table, x), missing(x).cast(kind)))
+                found = F.transform(column, lambda x: F.coalesce(look(x), missing(x)))
             elif unknown == "drop":
-                found = F.filter(found, lambda x: x.isNotNull())
+                found = F.filter(F.transform(column, look), lambda x: x.isNotNull())
             else:
-                found = F.transform(found, lambda x: F.coalesce(x, F.lit(-1).cast(kind)))
-            return df.withColumn(column, found).drop("__map")
+                found = F.transform(column, lambda x: F.coalesce(look(x), F.lit(-1).cast(kind)))
+            return df.withColumn(column, found).drop("__at")
         rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
-        each = rows.select(key, F.posexplode(column).alias("__pos", of)).join(self.items.select(of, F.col(to).alias("__to")), of, "left")
-        value = F.coalesce("__to", missing(F.col(of)).cast(kind)) if unknown == "error" else F.coalesce("__to", F.lit(-1).cast(kind)) if unknown != "drop" else F.col("__to")
+        each = join_items(rows.select(key, F.posexplode(column).alias("__pos", of)), self.items.select(of, F.col(to).alias("__to")), of, "__to")
+        value = F.coalesce("__to", missing(F.col(of))) if unknown == "error" else F.coalesce("__to", F.lit(-1).cast(kind)) if unknown != "drop" else F.col("__to")
         lists = each.withColumn("__to", value).where("__to IS NOT NULL").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__to"))), lambda x: x["__to"]).alias("__list"))
-        out = rows.drop(column).join(lists, key, "left")
+        out = rows.join(lists, key, "left")
         return out.withColumn(column, F.coalesce("__list", F.array().cast(f"array<{kind}>"))).drop(key, "__list").select(*df.columns)
 
     # storing

@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.compiled import Compiled, outputs
-
-MAPPED = 20_000
+from .native import GENERALISATIONS
 
 
 def generate(sequences: DataFrame, c: Compiled, support: int | None) -> DataFrame | None:
     """(pattern string of gids, weight) for small dictionaries, None for others. Suits expressions with few outputs a sequence."""
-    if c.dictionary.size() > MAPPED:
+    one = c.dictionary.by_gid(outputs(c.dictionary, c.fst.labels, support), "outs", GENERALISATIONS * len(c.fst.labels))
+    if one is None:
         return None
-    table = outputs(c.dictionary, c.fst.labels, support)
-    one = table.agg(F.map_from_entries(F.collect_list(F.struct("gid", "outs"))).alias("__outs"))
-    rows = sequences.select("items", "weight").crossJoin(F.broadcast(one))  # a single row with one map
+    rows = sequences.select("items", "weight").crossJoin(F.broadcast(one))  # a single row with one array
 
     def branch(s: int) -> str:
         parts = []
@@ -27,7 +25,7 @@ def generate(sequences: DataFrame, c: Compiled, support: int | None) -> DataFram
         return f"concat({', '.join(parts)})" if parts else "filter(array(f), y -> false)"
 
     step = "CASE f.s " + " ".join(f"WHEN {s} THEN {branch(s)}" for s in range(c.fst.n)) + " ELSE filter(array(f), y -> false) END"
-    fold = f"aggregate(transform(items, x -> __outs[x]), array(named_struct('s', 0, 'o', '')), (acc, w) -> array_distinct(flatten(transform(acc, f -> {step}))))"
+    fold = f"aggregate(transform(items, x -> try_element_at(__at, x + 1)), array(named_struct('s', 0, 'o', '')), (acc, w) -> array_distinct(flatten(transform(acc, f -> {step}))))"
     ends = ", ".join(map(str, sorted(c.fst.finals))) or "-1"
     found = f"array_distinct(transform(filter({fold}, f -> f.s IN ({ends}) AND f.o <> ''), f -> f.o))"
     return rows.select(F.explode(F.expr(found)).alias("pattern"), "weight")

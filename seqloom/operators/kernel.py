@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.automaton import Fst
-from ..plans.compiled import Compiled, fits, outputs
+from ..plans.compiled import Compiled, outputs
+from ..session import join_items, written
 
 #: Outputs of one sequence beyond which the kernel raises an error; it never leaves any out.
 MAX_OUTPUTS = 5_000_000
 HELD = 200_000
+#: Numbers in the table of what items may write that go to every worker.
+CELLS = 500_000
 
 
 class TooManyOutputs(RuntimeError):
@@ -76,14 +79,20 @@ class Runner:
 
 
 def with_outputs(sequences: DataFrame, c: Compiled, support: int | None) -> tuple[DataFrame, dict[int, list] | None]:
-    """Sequences and the table of what items may write, or, for large dictionaries, sequences joined with it in a column outs."""
-    table = outputs(c.dictionary, c.fst.labels, support)
-    if fits(c.dictionary):
+    """Sequences and the table of what items may write; where that has more than CELLS numbers, sequences joined with it in a column outs.
+
+    The joined form goes by stored row numbers, since a number that is made twice may not be the same twice. Items that the
+    dictionary lacks raise an error.
+    """
+    table = written(outputs(c.dictionary, c.fst.labels, support), "outputs")
+    cells = table.agg(F.sum(F.expr("1 + aggregate(outs, 0, (n, o) -> n + 1 + coalesce(size(o), 0))"))).first()[0] or 0
+    if cells <= CELLS:
         return sequences, {r["gid"]: r["outs"] for r in table.collect()}
-    keyed = sequences.withColumn("__s", F.monotonically_increasing_id())
-    each = keyed.select("__s", F.posexplode("items").alias("pos", "gid")).join(table, "gid")
+    keyed = written(sequences.withColumn("__s", F.monotonically_increasing_id()), "keyed")
+    each = join_items(keyed.select("__s", F.posexplode("items").alias("pos", "gid")), table, "gid", "outs")
+    each = each.withColumn("outs", F.coalesce("outs", F.raise_error(F.concat(F.lit("unknown gid "), F.coalesce(F.col("gid").cast("string"), F.lit("null")))).cast("array<array<int>>")))
     lists = each.groupBy("__s").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "outs"))), lambda x: x["outs"]).alias("outs"))
-    return keyed.join(lists, "__s").drop("__s"), None
+    return keyed.join(lists, "__s").drop("__s"), None  # a sequence without items has no output
 
 
 def generate(sequences: DataFrame, c: Compiled, support: int | None, max_outputs: int = MAX_OUTPUTS) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.automaton import Label
 from ..plans.compiled import NAMED, Compiled, outputs
 
-#: Items of a dictionary whose generalisations fit a map that goes with the plan.
-MAPPED = 20_000
+#: Numbers that an item's generalisations have on average, at most, in the array that goes to every executor.
+GENERALISATIONS = 8
 
 
 def plan(c: Compiled, support: int | None) -> tuple[list[list[Label]], dict[Label, list[int] | None]] | None:
@@ -29,8 +29,6 @@ def plan(c: Compiled, support: int | None) -> tuple[list[list[Label]], dict[Labe
             if len(rows) > NAMED:
                 return None
             named[a] = sorted(r["gid"] for r in rows)
-    if any(a.generalise and not a.constant for a in named) and c.dictionary.size() > MAPPED:
-        return None
     return forms, named
 
 
@@ -44,9 +42,11 @@ def generate(sequences: DataFrame, c: Compiled, support: int | None) -> DataFram
     wide = sorted({a for a in named if a.generalise and not a.constant}, key=repr)
     if wide:
         table = outputs(c.dictionary, wide, support)
-        one = table.agg(F.map_from_entries(F.collect_list(F.struct("gid", "outs"))).alias("__outs"))
-        rows = rows.crossJoin(F.broadcast(one))  # a single row with one map
-        rows = rows.withColumn("__wide", F.expr("transform(items, x -> __outs[x])")).drop("__outs")
+        one = c.dictionary.by_gid(table, "outs", GENERALISATIONS * len(wide))
+        if one is None:
+            return None
+        rows = rows.crossJoin(F.broadcast(one))  # a single row with one array
+        rows = rows.withColumn("__wide", F.expr("transform(items, x -> try_element_at(__at, x + 1))")).drop("__at")
     columns = [_form(f, named, wide, c.tree.start, c.tree.end) for f in forms]
     if not columns:
         return rows.select(F.lit("").alias("pattern"), "weight").where("false")

@@ -211,6 +211,35 @@ class Dfa:
             self.memo[key] = frozenset(t for s in states for a, t in self.fst.moves[s] if a in satisfied)
         return self.memo[key]
 
+    def table(self, classes: list[frozenset[int]], most: int) -> tuple[list[int], list[bool]] | None:
+        """All states over these classes: targets (state * number of classes + class; 0 is the first state, 1 accepts whatever follows, 2
+        nothing) and which accept. None beyond so many targets."""
+        number: dict[frozenset[int], int] = {frozenset({0}): 0}
+        rows, todo, k = {1: [1] * len(classes), 2: [2] * len(classes)}, [frozenset({0})], len(classes)
+
+        def of(states: frozenset[int]) -> int:
+            if states & self.fst.done:
+                return 1
+            if not states:
+                return 2
+            if states not in number:
+                number[states] = len(number) + 2
+                todo.append(states)
+            return number[states]
+
+        if number.keys() & {s for s in number if s & self.fst.done}:
+            return [1] * 3 * k, [True, True, False]
+        while todo:
+            if (len(number) + 2) * k > most:
+                return None
+            states = todo.pop()
+            rows[number[states]] = [of(self.step(states, c)) for c in classes]
+        accept = [False] * (len(number) + 2)
+        accept[1] = True
+        for states, i in number.items():
+            accept[i] = bool(states & self.fst.finals)
+        return [t for i in range(len(accept)) for t in rows[i]], accept
+
     def accepts(self, classes: list[frozenset[int]]) -> bool:
         states = frozenset({0})
         for c in classes:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dictionary import Dictionary
-from ..session import BROADCAST_ROWS
 from . import patex
 from .automaton import Fst, Label, build
 from .patex import Alt, Capture, Cat, Dot, Item, Rep
@@ -132,7 +131,3 @@ def outputs(dictionary: Dictionary, labels: list[Label], support: int | None) ->
         return F.when(match & (F.size(writes) > 0), writes).otherwise(none)
 
     return rows.select("gid", F.array(*[column(a) for a in labels]).alias("outs"))
-
-
-def fits(dictionary: Dictionary) -> bool:
-    return dictionary.size() <= BROADCAST_ROWS

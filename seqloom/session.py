@@ -62,3 +62,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A written or cheap narrow table, marked for broadcast if its size allows that; else a join shuffles it."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+#: An item that is in over this share of all places is sent to every task instead of one.
+HOT_SHARE = 1000
+
+
+def join_items(each: DataFrame, table: DataFrame, key: str, value: str) -> DataFrame:
+    """Left join of a row for each place with what a table has for each item, once (key, value; missing items get null).
+
+    Item frequencies are skewed, so hot items (fewer than HOT_SHARE of them can be) are broadcast, and only the others are shuffled.
+    """
+    n = each.count()
+    if table.count() <= HOT_SHARE:
+        return each.join(F.broadcast(table), key, "left")
+    hot = written(each.groupBy(key).count().where(F.col("count") * HOT_SHARE > n).select(key), "hot")
+    frequent = table.join(F.broadcast(hot), key, "left_semi").select(key, F.col(value).alias("__hot"), F.lit(True).alias("__is_hot"))
+    marked = each.join(F.broadcast(frequent), key, "left")
+    rest = marked.where("__is_hot IS NULL").drop("__hot", "__is_hot").join(table.select(key, value), key, "left")
+    return marked.where("__is_hot").withColumnRenamed("__hot", value).select(*rest.columns).unionByName(rest)

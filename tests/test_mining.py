@@ -1,10 +1,16 @@
 import itertools
+import random
 from collections import Counter
 
 import pytest
 
+from seqloom import session
+from seqloom.functions import classes
+from seqloom.operators import dictionary as dictionary_module
+from seqloom.operators import kernel
 from seqloom.operators.dictionary import Dictionary, DictionaryError
 from seqloom.operators.sequences import MinerConf, Sequences
+from seqloom.plans.automaton import Dfa
 from seqloom.plans.compiled import compile_, rewrite
 from seqloom.plans.patex import PatExError
 
@@ -128,3 +134,53 @@ def test_dictionary_algebra(spark, data):
     loop = Dictionary(spark.createDataFrame([(1, "x", 0, 0, [2], {}, None), (2, "y", 0, 0, [1], {}, None)], "gid int, sid string, dfreq bigint, cfreq bigint, parents array<int>, properties map<string,string>, fid int"))
     with pytest.raises(DictionaryError, match="cycle"):
         loop.checked()
+
+
+@pytest.fixture
+def many(spark):
+    """2000 weighted sequences over a hierarchy, shuffled as they are read."""
+    rnd = random.Random(4)
+    rows = [(i, [f"i{int(rnd.paretovariate(0.6)) % 40}" for _ in range(rnd.randrange(0, 9))], i % 5 + 1) for i in range(2000)]
+    items = [("X", []), ("Y", ["X"])] + [(f"i{k}", [["X"], ["Y"], []][k % 3]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, items array<string>, w long").repartition(7).orderBy("w", "items")
+    return Sequences.from_columns(df, key="k", weight="w", dictionary=Dictionary.of(spark, items)).recompute_dictionary()
+
+
+@pytest.mark.parametrize("advisory", ["1k", "64m"])
+def test_large_dictionaries_give_the_same(many, spark, monkeypatch, advisory):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        patterns = ["^(.)(.)", "(Y^).*(i1)"]
+        sids = sorted(map(repr, many.to_sids().collect()))
+        want = [rows(many.mine(p, 20)) for p in patterns]
+        chosen = [{r["seq_id"] for r in many.relevant(p).rows.collect()} for p in patterns]
+        for module, name in ((kernel, "CELLS"), (dictionary_module, "PLACES"), (dictionary_module, "MAPPED"), (session, "HOT_SHARE")):
+            monkeypatch.setattr(module, name, 10 if name == "HOT_SHARE" else 0)
+        for p, w, c in zip(patterns, want, chosen):
+            assert w and rows(many.mine(p, 20, "kernel", prune_irrelevant=True)) == w
+            assert {r["seq_id"] for r in many.relevant(p).rows.collect()} == c
+        assert rows(many.mine(patterns[0], 20, "growth")) == want[0]
+        assert sorted(map(repr, many.to_sids().collect())) == sids
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+@pytest.mark.parametrize("pattern", ["[i0|i1]* (i2)", "^ .* (Y) [X|i3]{2,4} $", "(.)", "[[X|Y] (i1)]+ $", "^ [.? i4]* $"])
+def test_relevance_is_the_automaton(many, pattern, monkeypatch):
+    c = compile_(pattern, many.dictionary)
+    up = {}
+    for r in many.dictionary.closure().collect():
+        up.setdefault(r["gid"], set()).add(r["anc"])
+    fits = lambda a, g: a.item is None or (a.item == g if a.exact and not a.constant else a.item in up[g])
+    dfa = Dfa(c.fst)
+    want = {r["seq_id"] for r in many.rows.collect() if dfa.accepts([frozenset(i for i, a in enumerate(c.fst.labels) if fits(a, g)) for g in r["items"]])}
+    assert {r["seq_id"] for r in many.relevant(pattern).rows.collect()} == want
+    monkeypatch.setattr(classes, "TARGETS", 0)
+    assert {r["seq_id"] for r in many.relevant(pattern).rows.collect()} == want
+
+
+def test_relevance_of_long_sequences(spark):
+    d = Dictionary.of(spark, [("a", []), ("b", [])])
+    rows_ = spark.createDataFrame([(1, ["a"] * 100_000 + ["b"]), (2, ["a"] * 100_000), (3, ["b"]), (4, [])], "k long, items array<string>")
+    s = Sequences.from_columns(rows_, key="k", dictionary=d)
+    assert {r["seq_id"] for r in s.relevant("^ [a|b]* (b) $").rows.collect()} == {1, 3}
