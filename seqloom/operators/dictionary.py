@@ -85,6 +85,28 @@ class Dictionary:
     def with_items(self, items: DataFrame) -> Dictionary:
         return Dictionary(items.select(*self.items.columns))
 
+    def with_item(self, sid: str, parents: Iterable[str] = (), gid: int | None = None) -> Dictionary:
+        """With one more item, below known ones; without a gid it gets the next free one."""
+        rows = [Item("sid", p, (0, 0)) for p in parents]
+        try:
+            up = [self.find(rows)["sid", p][1] for p in dict.fromkeys(parents)] if rows else []
+        except PatExError as e:
+            raise DictionaryError(str(e)) from e
+        if gid is None:
+            gid = (self.items.agg(F.max("gid")).first()[0] or 0) + 1
+        if not self.items.where((F.col("sid") == sid) | (F.col("gid") == gid)).isEmpty():
+            raise DictionaryError(f"item {sid!r} with gid {gid} exists")
+        return self.with_items(self.items.unionByName(self.spark.createDataFrame([(gid, sid, 0, 0, up, {}, None)], SCHEMA)))
+
+    def with_parent(self, child: str, parent: str) -> Dictionary:
+        """With one more link; DictionaryError if it is unknown or closes a cycle."""
+        try:
+            ids = {k[1]: v[1] for k, v in self.find([Item("sid", x, (0, 0)) for x in (child, parent)]).items() if k[0] == "sid"}
+        except PatExError as e:
+            raise DictionaryError(str(e)) from e
+        more = F.array_union("parents", F.array(F.lit(ids[parent])))
+        return self.with_items(self.items.withColumn("parents", F.when(F.col("gid") == ids[child], more).otherwise(F.col("parents")))).checked()
+
     def checked(self) -> Dictionary:
         """Itself, unless gids or sids repeat, parents are unknown or the hierarchy has a cycle."""
         for c in ("gid", "sid"):
@@ -145,6 +167,17 @@ class Dictionary:
         """(gid) of these items and everything above them."""
         return self.closure().where(F.col("gid").isin(list(gids))).select(F.col("anc").alias("gid")).distinct()
 
+    def below_fid(self, fid: int) -> DataFrame:
+        """(gid) of the items that are or have an ancestor with a smaller fid."""
+        return self.closure().join(self.items.where(F.col("fid") < fid).select(F.col("gid").alias("anc")), "anc", "left_semi").select("gid").distinct()
+
+    def neighbours(self) -> DataFrame:
+        """(fid, gid, next, previous): the items in the order of fids with the fids beside them, null at the ends."""
+        own = self.items.select("fid", "gid")
+        after = own.select(F.col("fid").alias("next"), (F.col("fid") - 1).alias("fid"))
+        before = own.select(F.col("fid").alias("previous"), (F.col("fid") + 1).alias("fid"))
+        return own.join(after, "fid", "left").join(before, "fid", "left")
+
     def children(self, gid: int) -> DataFrame:
         return self.items.where(F.array_contains("parents", gid))
 
@@ -193,6 +226,13 @@ class Dictionary:
     def clear_freqs(self) -> Dictionary:
         return self.with_items(self.items.withColumns({"dfreq": F.lit(0).cast("bigint"), "cfreq": F.lit(0).cast("bigint")}))
 
+    def with_freqs(self, freqs: DataFrame, add: bool = False) -> Dictionary:
+        """With the frequencies of (gid, dfreq, cfreq), or these added to its own; items that aren't in it keep theirs. fids stay."""
+        new = freqs.groupBy("gid").agg(F.sum("dfreq").alias("__d"), F.sum("cfreq").alias("__c"))
+        value = lambda own, more: F.when(F.col(more).isNull(), F.col(own)).otherwise(F.col(more) + (F.col(own) if add else 0)).cast("bigint")
+        rows = self.items.join(new, "gid", "left").withColumns({"dfreq": value("dfreq", "__d"), "cfreq": value("cfreq", "__c")})
+        return self.with_items(rows)
+
     def item_freqs(self, sequences: DataFrame) -> DataFrame:
         """(gid, dfreq, cfreq) of rows (items array<int>, weight): weights of the sequences that hold an item or a descendant, and of its
         occurrences. Occurrences are counted within each sequence first, so no row is sent an item at a time twice."""

@@ -122,6 +122,28 @@ def generate(sequences: DataFrame, c: Compiled, support: int | None, max_outputs
     return rows.select(*cols).mapInArrow(run, "pattern string, weight bigint")
 
 
+def outputs_of_each(sequences: DataFrame, c: Compiled, max_outputs: int = MAX_OUTPUTS) -> DataFrame:
+    """(seq_id, pattern string of gids): each output of each sequence."""
+    rows, table = with_outputs(sequences.select("seq_id", "items"), c, None)
+    shipped = sequences.sparkSession.sparkContext.broadcast(table) if table is not None else None
+    fst, name = c.fst, "outs" if table is None else "items"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runner, look = Runner(fst, max_outputs), shipped.value if shipped else None
+        for b in batches:
+            sids, found = [], []
+            for sid, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for x in runner.run(seq or [] if look is None else [look[g] for g in seq or []]):
+                    sids.append(sid)
+                    found.append(" ".join(map(str, x)))
+                if len(found) > HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(found, pa.string())], ["seq_id", "pattern"])
+                    sids, found = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(found, pa.string())], ["seq_id", "pattern"])
+
+    return rows.select("seq_id", name).mapInArrow(run, "seq_id long, pattern string")
+
+
 def relevant(sequences: DataFrame, c: Compiled, support: int | None = None) -> DataFrame:
     """The sequences that the expression accepts; with a support, those that can write only frequent items."""
     from ..functions.classes import accepted

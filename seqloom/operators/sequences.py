@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,31 @@ class Sequences:
             return Sequences.from_columns(rows, key=key, **options)
         return Sequences.from_columns(rows, **options)
 
+    @staticmethod
+    def build(df: DataFrame, parse: Callable[[dict], tuple[list, int]], key: str | None = None) -> Sequences:
+        """From rows of any kind: parse gets a row as a dict and returns its items and its weight. An item is a sid or (sid, [parent sids]).
+
+        The dictionary is made of all items and parents and counted. parse runs in Python workers, in batches.
+        """
+        names = df.columns
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                items, weights, links = [], [], []
+                for row in b.to_pylist():
+                    found, weight = parse(row)
+                    items.append([x if isinstance(x, str) else x[0] for x in found])
+                    weights.append(weight)
+                    links.append([{"child": x[0], "parent": p} for x in found if not isinstance(x, str) for p in x[1]])
+                kept = [b.column(names.index(key))] if key else []
+                link = pa.list_(pa.struct([("child", pa.string()), ("parent", pa.string())]))
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(items, pa.list_(pa.string())), pa.array(weights, pa.int64()), pa.array(links, link)], [*["key"] * len(kept), "items", "weight", "links"])
+
+        own = f"key {dict(df.dtypes)[key]}, " if key else ""
+        rows = written(df.mapInArrow(run, f"{own}items array<string>, weight long, links array<struct<child:string,parent:string>>"), "parsed")
+        links = rows.select(F.explode("links").alias("e")).select("e.child", "e.parent").distinct()
+        return Sequences.from_columns(rows, weight="weight", key="key" if key else None, parents=links)
+
     def with_rows(self, rows: DataFrame) -> Sequences:
         return Sequences(rows, self.dictionary, self.counted)
 
@@ -140,16 +167,27 @@ class Sequences:
         found = made.groupBy("pattern").agg(F.sum("weight").alias("support")).where(F.col("support") >= conf.min_support)
         return Patterns(found, self.dictionary)
 
-    def mine_traditional(self, min_support: int, max_gap: int, max_length: int, generalise: bool = False, algorithm: str = "growth", begin: int | None = None, end: int | None = None) -> Patterns:
+    def mine_traditional(self, min_support: int, max_gap: int, max_length: int, generalise: bool = False, algorithm: str = "growth", begin: int | None = None, end: int | None = None, gaps: bool = False) -> Patterns:
         """Subsequences of up to max_length items with at most max_gap items between neighbours. algorithm: growth (by prefixes), lists (joins
-        of id lists) or expression (the equivalent pattern expression)."""
+        of id lists) or expression (the equivalent pattern expression). begin and end keep patterns whose largest fid is in that range.
+        gaps: a negative number -n among the items stands for n items that are left out (not for expressions)."""
         if algorithm == "expression":
-            return self.mine(language.traditional(max_gap, max_length, generalise), min_support)
-        if algorithm == "growth":
-            return Patterns(traditional.prefix_growth(self.rows, self.dictionary, min_support, max_gap, max_length, generalise), self.dictionary)
-        if algorithm == "lists":
-            return Patterns(traditional.id_lists(self.rows, self.dictionary, min_support, max_gap, max_length, generalise, begin, end), self.dictionary)
-        raise ValueError("algorithm must be growth, lists or expression")
+            if gaps:
+                raise ValueError("pattern expressions don't know compressed gaps")
+            out = self.mine(language.traditional(max_gap, max_length, generalise), min_support)
+        elif algorithm == "growth":
+            out = Patterns(traditional.prefix_growth(self.rows, self.dictionary, min_support, max_gap, max_length, generalise, gaps), self.dictionary)
+        elif algorithm == "lists":
+            out = Patterns(traditional.id_lists(self.rows, self.dictionary, min_support, max_gap, max_length, generalise, gaps), self.dictionary)
+        else:
+            raise ValueError("algorithm must be growth, lists or expression")
+        if begin is None and end is None:
+            return out
+        return Patterns(traditional.pivoted(out.found, self.dictionary, begin or 0, (1 << 31) - 1 if end is None else end), self.dictionary)
+
+    def outputs(self, pattern: str, max_outputs: int = kernel.MAX_OUTPUTS) -> DataFrame:
+        """(seq_id, pattern string of gids): the distinct outputs of each sequence."""
+        return kernel.outputs_of_each(self.rows, compile_(pattern, self.dictionary), max_outputs)
 
 
 class Patterns:

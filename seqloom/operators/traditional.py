@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small, written
 from .dictionary import Dictionary
 
 
-def positions(sequences: DataFrame, dictionary: Dictionary, support: int, generalise: bool) -> DataFrame:
-    """(seq_id, weight, pos, item string): items, with generalise also their ancestors, of which enough sequences have one."""
+def positions(sequences: DataFrame, dictionary: Dictionary, support: int, generalise: bool, gaps: bool = False) -> DataFrame:
+    """(seq_id, weight, pos, item string): items, with generalise also their ancestors, of which enough sequences have one. With gaps, a
+    negative number -n among the items stands for n items that are left out."""
     each = sequences.select("seq_id", "weight", F.posexplode("items").alias("pos", "gid"))
+    if gaps:
+        before = Window.partitionBy("seq_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        each = each.withColumn("pos", F.coalesce(F.sum(F.when(F.col("gid") < 0, -F.col("gid")).otherwise(1)).over(before), F.lit(0)).cast("int")).where("gid >= 0")
     if generalise:
         each = each.join(small(dictionary.closure().select("gid", "anc")), "gid").drop("gid").withColumnRenamed("anc", "gid")
     each = written(each.select("seq_id", "weight", "pos", F.col("gid").cast("string").alias("item")).distinct(), "positions")
@@ -23,9 +27,9 @@ def supports(rows: DataFrame, support: int) -> DataFrame:
     return written(rows.select("pattern", "seq_id", "weight").distinct().groupBy("pattern").agg(F.sum("weight").alias("support")).where(F.col("support") >= support), "supports")
 
 
-def prefix_growth(sequences: DataFrame, dictionary: Dictionary, support: int, gap: int, length: int, generalise: bool = False) -> DataFrame:
+def prefix_growth(sequences: DataFrame, dictionary: Dictionary, support: int, gap: int, length: int, generalise: bool = False, gaps: bool = False) -> DataFrame:
     """(pattern string of gids, support): each level joins pattern ends with the positions up to gap + 1 places later."""
-    items = positions(sequences, dictionary, support, generalise)
+    items = positions(sequences, dictionary, support, generalise, gaps)
     front = items.withColumnRenamed("item", "pattern")
     found = supports(front, support)
     # one row for each place from which the next position can be reached, so the range becomes an equality
@@ -41,10 +45,10 @@ def prefix_growth(sequences: DataFrame, dictionary: Dictionary, support: int, ga
     return found
 
 
-def id_lists(sequences: DataFrame, dictionary: Dictionary, support: int, gap: int, length: int, generalise: bool = False, begin: int | None = None, end: int | None = None) -> DataFrame:
+def id_lists(sequences: DataFrame, dictionary: Dictionary, support: int, gap: int, length: int, generalise: bool = False, gaps: bool = False) -> DataFrame:
     """The same patterns from vertical lists (pattern, seq_id, first position): a k-pattern's suffix meets another's equal prefix that
-    starts within the gap. begin and end keep only patterns with an item in that range of gids, as partitioned mining asks for."""
-    items = positions(sequences, dictionary, support, generalise)
+    starts within the gap."""
+    items = positions(sequences, dictionary, support, generalise, gaps)
     lists = items.select("seq_id", "weight", F.col("item").alias("pattern"), "pos", F.lit("").alias("head"), F.lit("").alias("tail"))
     found = supports(lists, support)
     k = 1
@@ -60,7 +64,10 @@ def id_lists(sequences: DataFrame, dictionary: Dictionary, support: int, gap: in
         found = found.unionByName(level)
         lists = written(lists.join(small(level.select("pattern")), "pattern", "left_semi"), "lists")
         k += 1
-    if begin is not None or end is not None:
-        low, high = begin if begin is not None else 0, end if end is not None else (1 << 31) - 1
-        found = found.where(F.expr(f"exists(transform(split(pattern, ' '), x -> int(x)), x -> x BETWEEN {low} AND {high})"))
     return found
+
+
+def pivoted(found: DataFrame, dictionary: Dictionary, begin: int, end: int) -> DataFrame:
+    """The patterns whose least frequent item, that of the largest fid, is within these fids, as partitioned mining asks for."""
+    rows = found.withColumn("__f", F.split("pattern", " ").cast("array<int>"))
+    return dictionary.translate(rows, "__f", "fid").where(F.array_max("__f").between(begin, end)).drop("__f")

@@ -21,6 +21,7 @@ def supports(stream: DataFrame, dictionary: Dictionary, pattern: str, min_suppor
     return made.groupBy("pattern").agg(F.sum("weight").alias("support")).where(F.col("support") >= min_support)
 
 
-def start(found: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Runs into an in-memory table, for small results and tests."""
-    return found.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+def start(found: DataFrame, name: str, checkpoint: str, mode: str = "complete", available_now: bool = False) -> StreamingQuery:
+    """Runs into an in-memory table, for small results and tests; with available_now it ends when all that is there has been read."""
+    out = found.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if available_now else out).start()
