@@ -1,15 +1,17 @@
 """Main-text extraction: streaming parser events, text-to-tag ratios, Gaussian smoothing and threshold clustering.
 
-The standard library's parser turns a page into lines, one for each block of text, with the number of tags it took and whether a
-menu, header, footer, sidebar, notice, advert, form or comment section holds it. The text-to-tag ratios of the lines are smoothed with
-a Gaussian window; lines above a threshold (a standard deviation's share of the mean) form the seeds of content regions. Where the
-seeds lie in an article or main element, its lines are the content; else each cluster of seeds is, with the other lines of its containers.
+The standard library's parser turns a page into lines, one for each block of text, with the number of tags it took, whether a
+menu, header, footer, sidebar, notice, advert, form or comment section holds it, and its place among the page's containers. The
+text-to-tag ratios of the lines are smoothed with a Gaussian window; lines above a threshold, a share of the ratios' standard deviation,
+are seeds. Seeds with few lines between them form clusters, and clusters of little text go. The content region is what holds the clusters:
+from the page downwards, the container with nearly all of their text; there, all from the first to the last of its parts of which a line reaches the threshold by itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 from html.parser import HTMLParser
 
 import numpy as np
@@ -38,10 +40,25 @@ SCOPE = frozenset("article aside body div footer form header html main nav secti
 #: What holds the blocks of a text.
 CONTAINERS = frozenset("article body center div html main section td".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: The smoothing window and the threshold in standard deviations.
+SIGMA, SHARE = 1.0, 1.0
+#: Lines between two seeds of a cluster, at most; the text of a cluster against the largest one's; the share of all seeds' text for which a
+#: container takes the place of the one around it.
+BETWEEN, LEAST, NEARLY = 2, 0.1, 0.75
+ARTICLES = frozenset(("article", "main"))
+
+
+@dataclass(frozen=True)
+class Line:
+    text: str
+    tags: int
+    dropped: bool
+    container: int
+    heading: bool = False
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, dropped, number of the article or main element or -1, number of the container or -1).
+    """Collects lines, and of each container its parent (-1: the page) and whether it is an article or main element.
 
     An element whose class or id alone names a part that is dropped is kept if it holds the main element, or articles on a page that
     has neither elsewhere.
@@ -50,12 +67,14 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, starts a dropped part, is an article, starts a part dropped by its name
-        self.dropped = self.articles = 0
-        self.article, self.n_articles = [], 0
-        self.containers, self.n_containers = [-1], 0
+        self.dropped = 0
+        self.inside = 0  # open article and main elements
+        self.containers: list[int] = [-1]
+        self.parents: list[int] = []
+        self.is_article: list[bool] = []
         self.named, self.n_named = [], 0  # numbers of the open parts that are dropped by their names
         self.holders: list[tuple[bool, tuple[int, ...]]] = []  # for each article or main element: is it main, such parts around it
-        self.lines: list[tuple[str, int, bool, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[Line, tuple[int, ...]]] = []
         self.text: list[str] = []
         self.tags = 0
 
@@ -63,26 +82,25 @@ class Lines(HTMLParser):
         if self.text:
             words = "".join(self.text).split()
             if words:
-                self.lines.append((" ".join(words), self.tags, self.dropped > 0, self.article[-1] if self.article else -1, self.containers[-1], tuple(self.named)))
+                heading = any(x[0] in HEADINGS for x in self.stack[-6:])
+                self.lines.append((Line(" ".join(words), self.tags, self.dropped > 0, self.containers[-1], heading), tuple(self.named)))
                 self.tags = 0
             self.text = []
 
-    def pop(self) -> str:
-        tag, drops, article, named = self.stack.pop()
-        if tag in BLOCKS:
-            self.flush()
-        if tag in CONTAINERS:
+    def pop(self) -> None:
+        tag = self.stack[-1][0]
+        if tag in BLOCKS or tag in CONTAINERS:
             self.flush()
+        tag, drops, article, named = self.stack.pop()
+        if tag in CONTAINERS or article:
             self.containers.pop()
         self.dropped -= drops
         if named:
             self.named.pop()
-        if article:
-            self.article.pop()
-        return tag
+        self.inside -= article
 
     def drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = bool(self.article)
+        inside = self.inside > 0
         if tag in DROPPED or tag == "header" and not inside:
             return True
         if tag in ("html", "body", "main") or tag in HEADINGS:
@@ -97,7 +115,7 @@ class Lines(HTMLParser):
     def named_part(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ("html", "body", "main") or tag in HEADINGS:
             return False
-        inside = bool(self.article)
+        inside = self.inside > 0
         for name, value in attrs:
             if name in ("class", "id") and value:
                 for token in value.split():
@@ -124,18 +142,17 @@ class Lines(HTMLParser):
         article = not drops and not named and not self.dropped and (tag == "article" or main)
         self.stack.append((tag, drops, article, named))
         self.dropped += drops
-        if tag in CONTAINERS:
+        if tag in CONTAINERS or article:
             self.flush()
-            self.containers.append(self.n_containers)
-            self.n_containers += 1
+            self.parents.append(self.containers[-1])
+            self.is_article.append(article)
+            self.containers.append(len(self.parents) - 1)
         if named:
             self.named.append(self.n_named)
             self.n_named += 1
         if article:
             self.holders.append((main, tuple(self.named)))
-        if article:
-            self.article.append(self.n_articles if not self.article else self.article[-1])
-            self.n_articles += len(self.article) == 1
+            self.inside += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -160,12 +177,18 @@ class Lines(HTMLParser):
             return
         self.text.append(data)
 
-    def finish(self) -> list[tuple[str, int, bool, int, int]]:
+    def parse_marked_section(self, i, report=1):
+        """Skips <![...]]> and, where that doesn't end, up to the next >."""
+        j = self.rawdata.find("]]>", i) if self.rawdata.startswith("<![CDATA[", i) else -1
+        end = j + 3 if j >= 0 else self.rawdata.find(">", i) + 1
+        return end if end > 0 else len(self.rawdata)
+
+    def finish(self) -> list[Line]:
         self.close_all()
         kept = {n for main, named in self.holders if main for n in named}
         if not any(kept.issuperset(named) for _, named in self.holders):
             kept = {n for _, named in self.holders for n in named}
-        return [(t, tags, drop or not kept.issuperset(named), a, c) for t, tags, drop, a, c, named in self.lines]
+        return [x if x.dropped or kept.issuperset(named) else replace(x, dropped=True) for x, named in self.lines]
 
     def close_all(self) -> None:
         super().close()
@@ -180,48 +203,71 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(x, w, "same") / np.convolve(np.ones(len(x)), w, "same") if len(x) > r * 2 else np.array([np.average(x, weights=np.exp(-((np.arange(len(x)) - i) ** 2) / (2 * sigma * sigma))) for i in range(len(x))])
 
 
-def extract(html: str | None, sigma: float = 1.0, share: float = 0.3) -> str:
-    """The main text: blocks in page order, joined by an empty line; empty for null, empty or textless pages."""
+def region(lines: list[Line], parents: list[int], is_article: list[bool], sigma: float = SIGMA, share: float = SHARE) -> list[int]:
+    """The numbers of the lines that are content."""
+    kept = [i for i, x in enumerate(lines) if not x.dropped]
+    if not kept:
+        return []
+    own = np.array([0 if x.dropped else len(x.text) / max(x.tags, 1) for x in lines])
+    ratio = smooth(own, sigma)
+    limit = min(share * float(np.std(ratio)), max(ratio[i] for i in kept))
+    clusters: list[list[int]] = []
+    for i in kept:
+        if ratio[i] >= limit:
+            if not clusters or i - clusters[-1][-1] > BETWEEN + 1:
+                clusters.append([])
+            clusters[-1].append(i)
+    sizes = [sum(len(lines[i].text) for i in c) for c in clusters]
+    seeds = [i for c, n in zip(clusters, sizes) if n >= LEAST * max(sizes) for i in c]
+    # how much of the seeds' text each container holds
+    chains: dict[int, list[int]] = {}
+    held: dict[int, int] = {}
+    for i in seeds:
+        for c in chain_of(lines[i].container, parents, chains):
+            held[c] = held.get(c, 0) + len(lines[i].text)
+    total, node = sum(len(lines[i].text) for i in seeds), -1
+    while not (node >= 0 and is_article[node]):
+        best = max((c for c in held if parents[c] == node), key=lambda c: (held[c], -c), default=-1)
+        if best < 0 or held[best] < NEARLY * total:
+            break
+        node = best
+    parts: dict[int, int] = {}  # line -> the part of the node that holds it, the node itself for its own lines
+    for i in kept:
+        chain = chain_of(lines[i].container, parents, chains)
+        if node < 0 or node in chain:
+            at = len(chain) if node < 0 else chain.index(node)
+            parts[i] = chain[at - 1] if at else node
+    if node >= 0 and is_article[node]:
+        return list(parts)
+    seeds = [i for i in seeds if i in parts]
+    level = min(limit, max(own[i] for i in seeds))
+    good = {parts[i] for i in seeds if own[i] >= level}
+    out = [i for i in parts if parts[i] in good]
+    out = [i for i in parts if out[0] <= i <= out[-1]]
+    first = kept.index(out[0])
+    while first > 0 and lines[kept[first - 1]].heading:  # headings right before the region
+        first -= 1
+        out.insert(0, kept[first])
+    return out
+
+
+def chain_of(c: int, parents: list[int], known: dict[int, list[int]]) -> list[int]:
+    """A container and those around it, from within."""
+    if c not in known:
+        known[c], at = [], c
+        while at >= 0:
+            known[c].append(at)
+            at = parents[at]
+    return known[c]
+
+
+def extract(html: str | None, sigma: float = SIGMA, share: float = SHARE) -> str:
+    """The main text: blocks in page order, joined by an empty line; empty for null, empty or textless pages. Pages may be of any length
+    and needn't be well-formed."""
     parser = Lines()
     parser.feed(html or "")
     lines = parser.finish()
-    kept = [x for x in lines if not x[2]]
-    if not kept:
-        return ""
-    ratio = smooth(np.array([len(t) / max(tags, 1) * (not drop) for t, tags, drop, _, _ in lines]), sigma)
-    seeds = [(r, x) for r, x in zip(ratio, lines) if not x[2]]
-    spread = float(np.std(ratio))
-    limit = min(share * spread, max(r for r, _ in seeds)) if spread > 0 else 0.0
-    inside: dict[int, int] = {}
-    outside = 0
-    for r, (text, _, _, article, _) in seeds:
-        if r >= limit:
-            if article >= 0:
-                inside[article] = inside.get(article, 0) + len(text)
-            else:
-                outside += len(text)
-    if inside and sum(inside.values()) >= 0.25 * outside:
-        main = max(inside.values())
-        chosen = {a for a, n in inside.items() if n >= 0.1 * main}
-        return "\n\n".join(t for t, _, _, a, _ in kept if a in chosen)
-    if not inside and any(a >= 0 for _, _, _, a, _ in kept) and not outside:
-        return "\n\n".join(t for t, _, _, a, _ in kept if a >= 0)
-    # no article element: clusters of seeds, with all lines of their containers, all between a container's seeds, and up to two short ones between seeds
-    on = [r >= limit for r, _ in seeds]
-    ends: dict[int, tuple[int, int]] = {}
-    for i, (_, x) in enumerate(seeds):
-        if on[i]:
-            ends[x[4]] = (ends.get(x[4], (i, i))[0], i)
-    on = [y or x[4] in ends for (_, x), y in zip(seeds, on)]
-    for a, b in ends.values():
-        on[a : b + 1] = [True] * (b + 1 - a)
-    last = -1
-    for i, x in enumerate(on):
-        if x:
-            if 0 < i - last - 1 <= 2 and last >= 0:
-                on[last + 1 : i] = [True] * (i - last - 1)
-            last = i
-    return "\n\n".join(x[0] for (_, x), y in zip(seeds, on) if y)
+    return "\n\n".join(lines[i].text for i in region(lines, parser.parents, parser.is_article, sigma, share))
 
 
 def extract_pages(df: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from seqloom.llm import common, html_text, mixing, sharding, telephony, toxicity
@@ -251,6 +253,93 @@ def test_short_lines_without_an_article():
     assert got[-13:] == ["Top", "By me", long[0].strip(), "a", "b", "c", "d", "e", "fig", long[1].strip(), "x", "y", "End"]
 
 
+def test_regions_follow_ratio_smoothing_and_threshold():
+    long = [f"{w} text here, with many words. " * 8 for w in ("Some", "More", "Last")]
+    sections = "".join(f"<section><h2>Part {i}</h2><p>{t}</p></section>" for i, t in enumerate(long))
+    page = f"<body><div><p>Copy <b>right</b> <i>2024</i> all <u>rights</u> reserved</p></div><h1>Title</h1>{sections}<div><a href=1>One</a> <a href=2>Two</a></div><div><p>Imprint</p></div></body>"
+    want = ["Title", *(x for i, t in enumerate(long) for x in (f"Part {i}", t.strip()))]
+    assert html_text.extract(page).split("\n\n") == want
+    assert len(html_text.extract(page, share=0.0).split("\n\n")) > len(want)  # without a threshold, everything is content
+    assert html_text.extract(f"<body><article><p>{long[0]}</p></article><div><p>Copyright 2024 all rights reserved</p></div></body>") == long[0].strip()
+
+
+def brute_region(lines, parents, is_article, sigma, share):
+    """As the docstring of the module says, step by step."""
+    n = len(lines)
+    own = [0 if x.dropped else len(x.text) / max(x.tags, 1) for x in lines]
+    reach = int(np.ceil(2 * sigma)) if n > 2 * np.ceil(2 * sigma) else n
+    ratio = []
+    for i in range(n):
+        near = [j for j in range(n) if abs(i - j) <= reach]
+        w = [np.exp(-((i - j) ** 2) / (2 * sigma**2)) for j in near]
+        ratio.append(sum(a * own[j] for a, j in zip(w, near)) / sum(w))
+    kept = [i for i in range(n) if not lines[i].dropped]
+    if not kept:
+        return []
+    mean = sum(ratio) / n
+    limit = min(share * (sum((r - mean) ** 2 for r in ratio) / n) ** 0.5, max(ratio[i] for i in kept))
+    above = [i for i in kept if ratio[i] >= limit - 1e-9]
+    clusters = [[above[0]]]
+    for a, b in zip(above, above[1:]):
+        clusters[-1].append(b) if b - a <= html_text.BETWEEN + 1 else clusters.append([b])
+    weight = lambda ix: sum(len(lines[i].text) for i in ix)
+    seeds = [i for c in clusters if weight(c) >= html_text.LEAST * max(map(weight, clusters)) for i in c]
+    inside = lambda i, c: c == -1 or lines[i].container == c or (lines[i].container >= 0 and any(x == c for x in above_of(lines[i].container)))
+
+    def above_of(c):
+        while c >= 0:
+            yield c
+            c = parents[c]
+
+    node = -1
+    while node < 0 or not is_article[node]:
+        children = [c for c in range(len(parents)) if parents[c] == node and weight([i for i in seeds if inside(i, c)]) >= max(html_text.NEARLY * weight(seeds), 1)]
+        if not children:
+            break
+        node = children[0]
+    within = [i for i in kept if inside(i, node)]
+    if node >= 0 and is_article[node]:
+        return within
+    part = lambda i: next((c for c in above_of(lines[i].container) if parents[c] == node), node) if lines[i].container != node else node
+    seeds = [i for i in seeds if i in within]
+    level = min(limit, max(own[i] for i in seeds))
+    good = {part(i) for i in seeds if own[i] >= level - 1e-9}
+    chosen = [i for i in within if part(i) in good]
+    out = [i for i in within if chosen[0] <= i <= chosen[-1]]
+    before = [i for i in kept if i < out[0]]
+    while before and lines[before[-1]].heading:
+        out.insert(0, before.pop())
+    return out
+
+
+def random_page(rnd):
+    def node(depth):
+        tag = rnd.choice(["p", "p", "p", "div", "div", "section", "article", "ul", "h2", "nav", "span", "table"])
+        if tag in ("p", "h2", "span") or depth > 4:
+            return f"<{tag}>{'word ' * rnd.choice([1, 2, 5, 30, 90])}{'<b>x</b>' * rnd.randrange(3)}</{tag}>"
+        return f"<{tag}>{''.join(node(depth + 1) for _ in range(rnd.randrange(1, 5)))}</{tag}>"
+
+    return "<body>" + "".join(node(0) for _ in range(rnd.randrange(1, 7))) + "</body>"
+
+
+def test_regions_equal_brute_force():
+    rnd, differs = random.Random(8), 0
+    for _ in range(400):
+        parser = html_text.Lines()
+        parser.feed(random_page(rnd))
+        lines = parser.finish()
+        got = [html_text.region(lines, parser.parents, parser.is_article, 1.0, share) for share in (1.0, 0.0)]
+        assert got == [brute_region(lines, parser.parents, parser.is_article, 1.0, share) for share in (1.0, 0.0)]
+        differs += got[0] != got[1]
+    assert differs > 40
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from("<![foo bar]> <![CDATA[ ]]> <!-- --> <!doctype <? ?> </ <p <a href=' <article> </article> <main> </div> <div> <td> <script> </script> <textarea> &#x110000; &#0; &amp <![if x]> <![ <!".split())), max_size=12).map("".join))
+def test_any_page_is_parsed(html):
+    assert isinstance(html_text.extract(html), str)
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], "page_id long, url string, html string, text string")
     got = html_text.extract_pages(df).collect()
