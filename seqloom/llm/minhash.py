@@ -4,9 +4,11 @@ Two permutations make the whole signature: the first scatters the shingles over
 document's places p, of the second permutation at p + k, that is, of its copy shifted circularly by k.
 
 Documents with the same set of shingles form a class, of which one goes on. Classes that agree in a band meet in a bucket. A
-bucket's members are compared with its smallest one first; then, where a bucket still holds members of different components,
-those of different components with each other. What is compared is the full sets. Members of one component need no comparison: the
-components can't change by it.
+bucket's members are compared with its smallest one first. Where a bucket of at most CROWD members still holds different components,
+those are compared with each other. The members of larger ones, as texts that share a passage make them, are never paired by bucket:
+shingles are ordered by how many of these members have them, and only members that share one of their rarest shingles (as many as
+two sets at the threshold can't both lack) are compared, which finds each link among them. What is compared is the full sets. Members of
+one component need no comparison: the components can't change by it.
 
 Pairs across components are first held against each other by their signatures (one byte a coordinate). Bands and that cut follow the
 threshold, so that a pair at a similarity of just the threshold is missed with a probability of at most 1e-7 by the bands.
@@ -31,6 +33,8 @@ MISSED = 1e-7
 CIRCLE = 1 << 20
 #: Members that one task compares with the same document.
 FAN = 2000
+#: Members of a bucket up to which its components are compared pair by pair.
+CROWD = 50
 
 
 class Shingler:
@@ -185,13 +189,49 @@ def confirmed(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return common.in_arrow(streamed.select("u", "fan", "__rid", "first", "text"), run, "u long, v long")
 
 
-def apart(placed: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (u, v) of rows of different components that meet in a bucket, of (band, __rid, n_shingles, comp)."""
-    sizes = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("band")
+def apart(placed: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) of rows of different components that may be linked and meet in a bucket, of (band, __rid, n_shingles, comp)."""
+    sizes = placed.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("members")).where("a <> b").select("band", "members")
     near = common.written(placed.join(sizes, "band"), "open")
-    other = near.select("band", F.col("__rid").alias("u"), F.col("n_shingles").alias("other"), F.col("comp").alias("comp_u"))
-    pairs = near.join(other, "band").where(f"comp_u < comp AND n_shingles * 100 >= {percent} * other AND other * 100 >= {percent} * n_shingles")
-    return pairs.select(F.least("u", "__rid").alias("u"), F.greatest("u", "__rid").alias("v")).distinct()
+    few = near.where(F.col("members") <= CROWD)
+    other = few.select("band", F.col("__rid").alias("u"), F.col("n_shingles").alias("other"), F.col("comp").alias("comp_u"))
+    pairs = few.join(other, "band").where(f"comp_u < comp AND n_shingles * 100 >= {percent} * other AND other * 100 >= {percent} * n_shingles")
+    pairs = pairs.select(F.least("u", "__rid").alias("u"), F.greatest("u", "__rid").alias("v"))
+    crowd = common.written(near.where(F.col("members") > CROWD).select("__rid", "n_shingles", "comp").distinct(), "crowd")
+    return (pairs if crowd.isEmpty() else pairs.unionByName(by_rare_shingles(crowd, rows, percent))).distinct()
+
+
+def by_rare_shingles(crowd: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v), possibly repeated, of different components that hold each link among crowd (__rid, n_shingles, comp).
+
+    In a common order of all shingles, rarest first, two linked sets x and y share one within the first |x| - a + 1 and |y| - a + 1, where
+    a is the least size of their intersection: percent of the larger set, and 2 * percent / (100 + percent) of the smaller one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = common.tool(Shingler)
+        for b in common.text_batches(batches, "text", 1 << 20):
+            each = [shingle(t) for t in common.column(b, "text").to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([common.column(b, "__rid"), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(each).view(np.int64)))], ["__rid", "shingles"])
+
+    small = crowd.count() <= common.BROADCAST_ROWS
+    ids = crowd.select("__rid")
+    sets = common.written(common.in_arrow(rows.select("__rid", "text").join(F.broadcast(ids) if small else ids, "__rid", "left_semi"), run, "__rid long, shingles array<long>"), "sets")
+    tokens = sets.select("__rid", F.explode("shingles").alias("token"))
+    shared = common.written(tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1"), "shared")
+    total = shared.agg(F.sum("k")).first()[0] or 0
+    found = common.join_counted(tokens, shared, ["token"], "k", total)
+    # a set's shared shingles, at most as many as its text has, behind those that it has alone
+    lists = found.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("k", "token"))).alias("shared")).join(crowd, "__rid")
+    alone = F.col("n_shingles") - F.size("shared")
+    probe = F.col("n_shingles") - F.expr(f"({percent} * n_shingles + 99) div 100") + 1 - alone
+    index = F.col("n_shingles") - F.expr(f"({2 * percent} * n_shingles + {99 + percent}) div {100 + percent}") + 1 - alone
+    rare = lists.withColumns({"probe": probe.cast("int"), "index": index.cast("int")}).where("probe > 0").withColumn("shared", F.expr("slice(shared, 1, probe)"))
+    rare = common.written(rare.select("__rid", "n_shingles", "comp", "index", F.posexplode("shared").alias("pos", "s")).select("__rid", "n_shingles", "comp", F.expr("pos < index").alias("indexed"), "s.token"), "rare")
+    left = rare.select("token", F.col("__rid").alias("u"), F.col("n_shingles").alias("other"), F.col("comp").alias("comp_u"))
+    pairs = left.join(rare.where("indexed"), "token").where(f"u <> __rid AND comp_u <> comp AND n_shingles <= other AND n_shingles * 100 >= {percent} * other")
+    return pairs.select(F.least("u", "__rid").alias("u"), F.greatest("u", "__rid").alias("v"))
 
 
 def similar(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -241,7 +281,7 @@ def components_of(df: DataFrame, percent: int = 75, id_col: str = "doc_id", text
     small = labels.count() <= common.BROADCAST_ROWS
     known = labels.select(F.col("node").alias("__rid"), "comp")
     placed = members.select("band", "__rid", "n_shingles").join(F.broadcast(known) if small else known, "__rid", "left").withColumn("comp", F.coalesce("comp", "__rid"))
-    across = similar(apart(placed, percent), signed.select("__rid", "sketch"), percent)
+    across = similar(apart(placed, rows, percent), signed.select("__rid", "sketch"), percent)
     more = common.written(confirmed(across, rows, percent), "links")
     if more.count():
         labels = common.written(components.connected(links.unionByName(more)), "labels")

@@ -1,6 +1,7 @@
 """Exact and near duplicates, spans, tokens and files against brute force, with awkward rows."""
 
 import os
+import random
 import re
 import zlib
 
@@ -135,6 +136,27 @@ def test_near_duplicates(spark, tmp_path):
     assert got == {i: (c, n, c == i) for i, (c, n) in enumerate(zip(comps, sizes))}
 
 
+def test_unlike_texts_with_one_passage(spark, tmp_path, monkeypatch):
+    """Crowded buckets: pairs stay few, and no link is lost."""
+    rnd = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(78))
+    texts = [passage + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(21 + i % 5)) for i in range(500)]
+    for i in range(0, 60, 2):  # linked to the one before by own words, some of other sizes
+        words = texts[i].split()
+        texts[i + 1] = " ".join([*words[: -3 - i % 8], *(f"n{rnd.randrange(10**6)}" for _ in range(i % 4))])
+    met = []
+    similar = minhash.similar
+    monkeypatch.setattr(minhash, "similar", lambda pairs, *a: met.append(pairs.count()) or similar(pairs, *a))
+    at = str(tmp_path / "t")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(at)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.digest(spark.read.parquet(at)).collect()}
+    sets = [set(zip(w, w[1:])) for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(500) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert 20 <= len(links) < 100 and all(got[i] == got[j] for i, j in links)
+    assert sum(d == c for d, c in got.items()) == 500 - len({i for i, _ in links})
+    assert met and sum(met) * 20 < 500 * 499 // 2
+
+
 def test_banding_follows_the_threshold(spark, tmp_path):
     assert minhash.banding(75) == (60, 5) and abs(minhash.agreeing(75) - 0.6) < 1e-6 and minhash.banding(50) == (150, 2)
     for percent in (0, 2, 101):
