@@ -5,9 +5,11 @@ the stretch it spans (six characters at most), so that inserted characters weake
 landmark strings makes the kernel linear; a linear SVM is trained on it. As the map is a fixed mixture of landmarks, the decision is
 a weighted sum over the string's subsequences, and one table with a weight for each subsequence scores any string.
 
-Labels are known for whole documents only. So training finds witnesses, strings that significantly more toxic documents have than
-clean ones. Witnesses, also with characters inserted, are the positive examples; strings of clean documents' sentences, those most like
-witnesses among them, are the negative ones. A document's score comes from its worst string, by logistic calibration.
+Labels are known for whole documents only, and a toxic one has an insult in a sentence or two. So training goes by sentences, as bags
+of strings (multi-instance learning). At first a toxic document's sentence is chosen if it has a string that significantly more
+toxic than clean documents have; from then on the machine adds those sentences with a string that it finds worse than almost any
+clean sentence's, if other toxic documents have it too. A sentence is stood for by its worst string, clean ones too. What is chosen, also with characters inserted, trains the
+next round. A document's score comes from its worst string, by logistic calibration.
 
 Training takes at most TOXIC_DOCS toxic and CLEAN_DOCS clean labelled documents (those whose hashes come first), a bound that is
 documented and doesn't depend on the size of the corpus. Scoring covers every whole text.
@@ -28,14 +30,19 @@ from pyspark.sql import functions as F
 
 from . import common
 
-TOXIC_DOCS, CLEAN_DOCS, CLEAN_STRINGS, CLEAN_POOL, WITNESSES = 1500, 3000, 6000, 60_000, 300
+TOXIC_DOCS, CLEAN_DOCS = 1500, 3000
+#: Sentences of clean documents that stand for all of these in training, strings of clean sentences in a round, rounds.
+CLEAN_SENTENCES, CLEAN_STRINGS, ROUNDS = 20_000, 6000, 3
+#: How often a string counts at most that stands for many sentences; it is in more than so many times as many toxic as clean documents.
+COPIES, PURITY = 4, 2
+#: A toxic document's sentence is chosen if this share of clean sentences has no string as bad.
+CLEAN_SHARE = 0.9997
 DECAY, STRETCH, WIDTH = 0.7, 6, 24
 LANDMARKS = 192
 THRESHOLD = 0.3
 #: Of the likelihood ratio statistic; chance gives this less than once in a million strings.
 SIGNIFICANT = 25.0
-#: A witness is in so many times as many toxic as clean documents.
-PURITY = 2
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -67,6 +74,11 @@ def strings(text: str | None) -> list[str]:
     return sorted(out)
 
 
+def sentences(text: str | None) -> list[list[str]]:
+    """The strings of three characters or more of each sentence that has any."""
+    return [x for x in ([w for w in strings(t) if len(w) > 2] for t in SENTENCE.split(text or "")) if x]
+
+
 CODES = np.zeros(0x10000, np.uint8)
 CODES[[c for c in range(0x10000) if chr(c).isalnum()]] = [37 + c % 24 for c in range(0x10000) if chr(c).isalnum()]
 CODES[[0xE000, 0xE001]] = 62, 63  # a string's ends
@@ -79,7 +91,8 @@ def subsequences(words: list[str], gaps: list[tuple[int, int]], weights: np.ndar
     only stretch what they stand between."""
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     width = int(size.max(initial=1))
-    chars = np.frombuffer("".join(f"\ue000{w}\ue001" for w in words).encode("utf-32-le"), "<u4") & 0xFFFF
+    chars = np.frombuffer("".join(f"\ue000{w}\ue001" for w in words).encode("utf-32-le"), "<u4")
+    chars = np.where(chars < 0x10000, chars, 0x4E00)  # what lies beyond counts as one letter
     grid = np.zeros((len(words), width + STRETCH), np.int64)
     grid[:, :width][np.arange(width) < size[:, None]] = CODES[chars]
     keys, values = [], []
@@ -128,6 +141,13 @@ class Model:
         look = self.cache
         return np.array([max(map(look.__getitem__, ws), default=self.bias) for ws in each])
 
+    def worst_strings(self, bags: list[list[str]]) -> tuple[list[str], list[float]]:
+        """The worst string of each bag and the decision for it."""
+        known = sorted({w for x in bags for w in x})
+        value = dict(zip(known, np.concatenate([decisions(known[i : i + 5000], self.table, self.bias) for i in range(0, len(known), 5000)] or [[]]).tolist()))
+        best = [max(x, key=lambda w: (value[w], w)) for x in bags]
+        return best, [value[w] for w in best]
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.worst(texts) + self.offset, -30, 30)))
 
@@ -217,43 +237,76 @@ def variants(word: str, rng: np.random.Generator) -> list[str]:
 
 
 def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
-    """Trains on labelled texts. Without both labels, every score is the share of label 1 (0 where there are no texts)."""
+    """Trains on labelled texts. Without both labels, or where no toxic text has a string, every score is the share of label 1 (0 where
+    there are no texts)."""
     y = np.array(labels, np.int64)
-    if not len(y) or y.min() == y.max():
+    bags = [sentences(t) for t in texts]
+    if not any(x and v for x, v in zip(bags, labels)) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(1 << 18), 0.0, 0.0, float(np.log(p / (1 - p))))
-    each = [[w for w in strings(t) if len(w) > 2] for t in texts]
+    each = [sorted({w for x in bag for w in x}) for bag in bags]
     alone = distinct(each)  # copies of a document would make its rare strings look significant
     toxic, clean = Counter(), Counter()
     for i in alone:
         (toxic if y[i] else clean).update(each[i])
     n1, n0 = sum(int(y[i]) for i in alone), sum(1 - int(y[i]) for i in alone)
     worth = {w: significance(k, n1, clean[w], n0) for w, k in toxic.items()}
-    found = sorted((w for w, g in worth.items() if g >= SIGNIFICANT and toxic[w] > PURITY * clean[w]), key=lambda w: (-worth[w], w))[:WITNESSES]
-    if not found:  # too few examples for significance
-        found = sorted(worth, key=lambda w: (-worth[w], w))[:1] or ["toxic"]
-    rng, chosen = np.random.default_rng(seed), set(found)
-    pool = sorted(w for w in clean if w not in chosen)
-    pool = [pool[i] for i in rng.permutation(len(pool))[:CLEAN_POOL]]
-    near = kernel(pool, found).max(axis=1) if pool else np.zeros(0)
-    by = np.argsort(-near, kind="stable")
-    hard, rest = [pool[i] for i in by[: CLEAN_STRINGS // 2]], [pool[i] for i in by[CLEAN_STRINGS // 2 :]]
-    rest = [rest[i] for i in rng.permutation(len(rest))[: CLEAN_STRINGS // 2]]
-    bad = [v for w in found for v in [w] * 4 + variants(w, rng)]
-    marks = list(dict.fromkeys(found[: LANDMARKS // 2] + hard[: LANDMARKS // 4] + rest[: LANDMARKS // 4]))
+    least = SIGNIFICANT if max(worth.values(), default=0) >= SIGNIFICANT else 0  # too few examples for significance
+    rng = np.random.default_rng(seed)
+    # the first choice: of each toxic document the most significant string, of clean sentences those most like these
+    suspects = [x for i in alone if y[i] for x in bags[i]]
+    bad = [max(x, key=lambda w: (worth[w], w)) for x in suspects]
+    first = bad = [w for w in bad if worth[w] > least and toxic[w] > PURITY * clean[w]] or bad
+    chosen_first = set(first)
+    good = [x for i in alone if not y[i] for x in bags[i]]
+    good = [good[i] for i in rng.permutation(len(good))[:CLEAN_SENTENCES]]
+    near = decider(dict(zip(sorted(set(bad)), np.ones(len(bad)))))
+    model = None
+    for last in (*[False] * (ROUNDS - 1), True):
+        found = Counter(bad)
+        likely = near if model is None else model.worst_strings
+        hard = [w for w, _ in sorted(zip(*likely(good)), key=lambda x: (-x[1], x[0])) if w not in found]
+        hard = list(dict.fromkeys(hard))
+        rest = sorted({w for x in good for w in x}.difference(found))
+        rest = [rest[i] for i in rng.permutation(len(rest))[: CLEAN_STRINGS // 2]]
+        hard = hard[: CLEAN_STRINGS // 2]
+        rows = [v for w, n in sorted(found.items()) for v in [w] * min(n, COPIES) + variants(w, rng)] or [""]
+        marks = list(dict.fromkeys([w for w, _ in found.most_common(LANDMARKS // 2)] + hard[: LANDMARKS // 4] + rest[: LANDMARKS // 4]))
+        model = machine(rows, hard + rest, marks, 60 if last else 20)
+        if not last:
+            chosen, f = model.worst_strings(suspects)
+            limit = np.quantile(model.worst_strings(good)[1], CLEAN_SHARE) if good else 0.0
+            bad = first + [w for w, v in zip(chosen, f) if v > max(limit, 0) and w not in chosen_first and toxic[w] > 1 + PURITY * clean[w]]
+    model.slope, model.offset = calibrate(model.worst(texts), y.astype(float))
+    return model
+
+
+def decider(found: dict[str, float]):
+    """As Model.worst_strings, by the greatest kernel with these strings."""
+    marks = list(found)
+
+    def worst(bags: list[list[str]]) -> tuple[list[str], list[float]]:
+        known = sorted({w for x in bags for w in x})
+        value = dict(zip(known, kernel(known, marks).max(axis=1).tolist() if known and marks else [0.0] * len(known)))
+        best = [max(x, key=lambda w: (value[w], w)) for x in bags]
+        return best, [value[w] for w in best]
+
+    return worst
+
+
+def machine(bad: list[str], good: list[str], marks: list[str], rounds: int) -> Model:
+    """The SVM of bad and good strings over the Nyström map of the marks, as a table of weights; not calibrated."""
     values, vectors = np.linalg.eigh(kernel(marks, marks))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    train_on = bad + hard + rest
-    signs = np.array([1.0] * len(bad) + [-1.0] * (len(train_on) - len(bad)))
-    w, bias = svm(kernel(train_on, marks) @ root, signs)
+    rows = bad + good
+    signs = np.array([1.0] * len(bad) + [-1.0] * len(good))
+    w, bias = svm(kernel(rows, marks) @ root, signs, rounds=rounds)
     mix = root @ w
     mark, code, value = subsequences(marks, GAPS, WEIGHTS)
     norm = np.sqrt(np.bincount(mark, value * value, len(marks)))
     table = np.bincount(code, value / np.maximum(norm[mark], 1e-12) * mix[mark], 1 << 18)
-    model = Model(table, bias, 1.0, 0.0)
-    model.slope, model.offset = calibrate(model.worst(texts), y.astype(float))
-    return model
+    return Model(table, bias, 1.0, 0.0)
 
 
 def remainder(id_col: Column) -> Column:

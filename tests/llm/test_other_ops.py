@@ -202,6 +202,39 @@ def test_string_kernel_is_its_definition():
     assert np.allclose(toxicity.kernel(words, words), want)
 
 
+def test_decisions_are_the_sum_over_landmarks():
+    """The table of weights against the Nyström map and the kernel's definition, string by string."""
+    bad, good = ["idiot", "id.iot", "moron", "mmoron", "xidiotx"], ["table", "window", "garden", "maroon", "idea", "edit"]
+    marks = ["idiot", "moron", "table", "garden", "idea"]
+    m = toxicity.machine(bad, good, marks, 60)
+    k = lambda a, b: brute_kernel(a, b)
+    gram = np.array([[k(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    w, bias = toxicity.svm(np.array([[k(a, b) for b in marks] for a in bad + good]) @ root, np.array([1.0] * 5 + [-1.0] * 6))
+    for x in [*bad, *good, "idi0t", "zz", "", "i d i o t", "\U0001d422diot"]:
+        assert toxicity.decisions([x], m.table, m.bias)[0] == pytest.approx(np.array([k(x, b) for b in marks]) @ root @ w + bias, abs=1e-6), x
+    model = toxicity.Model(m.table, m.bias, 2.0, 0.5)
+    text = "the garden has an i d i o t. And a table"
+    assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(2 * max(toxicity.decisions(toxicity.strings(text), m.table, m.bias)) + 0.5))))
+
+
+def brute_kernel(a, b):
+    def parts(s):
+        code = lambda c: toxicity.CODES[ord(c)] if ord(c) < 0x10000 else toxicity.CODES[0x4E00]
+        s, out = [code(c) for c in f"\ue000{s}\ue001"], Counter()
+        for i in range(len(s)):
+            for j in range(i + 1, len(s)):
+                for l in range(j + 1, min(i + toxicity.STRETCH, len(s))):
+                    if s[i] and s[j] and s[l]:
+                        out[s[i], s[j], s[l]] += toxicity.DECAY ** (l - i + 1)
+        return out
+
+    x, y = parts(a), parts(b)
+    norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
+    return sum(v * y[t] for t, v in x.items()) / norm if norm else 0.0
+
+
 def test_toxicity_frames(spark, tmp_path):
     rows = labelled()
     spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, "x"), (9999, None), (0, rows[0][1])], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
