@@ -26,7 +26,7 @@ BESIDE = f"{WHITE} | {WHITE}"
 NOTHING = pa.scalar(b"", pa.large_binary())
 NEVER = np.iinfo(np.int64).max
 #: Strings that a process keeps in each of two generations, and the longest of them; bytes of text that are encoded at once.
-CACHED, CACHED_LENGTH, ENCODED_BYTES = 150_000, 48, 4 << 20
+CACHED, CACHED_LENGTH, ENCODED_BYTES = 150_000, 48, 2 << 20
 
 
 def byte_chars() -> dict[str, int]:
