@@ -18,10 +18,11 @@ documented and doesn't depend on the size of the corpus. Scoring covers every wh
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,8 +76,8 @@ def strings(text: str | None) -> list[str]:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The strings of three characters or more of each sentence that has any."""
-    return [x for x in ([w for w in strings(t) if len(w) > 2] for t in SENTENCE.split(text or "")) if x]
+    """The strings of three characters or more of each sentence that has any; equal strings are one object."""
+    return [x for x in ([sys.intern(w) for w in strings(t) if len(w) > 2] for t in SENTENCE.split(text or "")) if x]
 
 
 CODES = np.zeros(0x10000, np.uint8)
@@ -214,7 +215,7 @@ def significance(k1: int, n1: int, k0: int, n0: int) -> float:
     return 2 * (ll(k1, n1, k1 / n1) + ll(k0, n0, k0 / n0 if n0 else 0) - ll(k1, n1, p) - ll(k0, n0, p))
 
 
-def distinct(each: list[list[str]], size: int = 16) -> list[int]:
+def distinct(each: Iterable[Iterable[str]], size: int = 16) -> list[int]:
     """The numbers of the lists that don't share half of their smallest hashes with an earlier one."""
     seen: dict[int, list[int]] = {}
     out = []
@@ -244,11 +245,11 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
     if not any(x and v for x, v in zip(bags, labels)) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
         return Model(np.zeros(1 << 18), 0.0, 0.0, float(np.log(p / (1 - p))))
-    each = [sorted({w for x in bag for w in x}) for bag in bags]
-    alone = distinct(each)  # copies of a document would make its rare strings look significant
+    alone = distinct({w for x in bag for w in x} for bag in bags)  # copies of a document would make its rare strings look significant
     toxic, clean = Counter(), Counter()
     for i in alone:
-        (toxic if y[i] else clean).update(each[i])
+        (toxic if y[i] else clean).update({w for x in bags[i] for w in x})
+    clean = {w: clean[w] for w in toxic}  # of other strings no count is needed
     n1, n0 = sum(int(y[i]) for i in alone), sum(1 - int(y[i]) for i in alone)
     worth = {w: significance(k, n1, clean[w], n0) for w, k in toxic.items()}
     least = SIGNIFICANT if max(worth.values(), default=0) >= SIGNIFICANT else 0  # too few examples for significance
@@ -260,6 +261,7 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 3) -> Model:
     chosen_first = set(first)
     good = [x for i in alone if not y[i] for x in bags[i]]
     good = [good[i] for i in rng.permutation(len(good))[:CLEAN_SENTENCES]]
+    bags.clear()
     near = decider(dict(zip(sorted(set(bad)), np.ones(len(bad)))))
     model = None
     for last in (*[False] * (ROUNDS - 1), True):
@@ -322,7 +324,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = common.written(picks[0].unionByName(picks[1]), "chosen")  # at most TOXIC_DOCS + CLEAN_DOCS rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     rows = texts.groupBy("id", "toxic").agg(F.min("text").alias("text")).orderBy("id").select("text", "toxic").collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    common.release()
+    return model
 
 
 def unpacked(at: bytes, weights: bytes, bias: float, slope: float, offset: float) -> Model:
