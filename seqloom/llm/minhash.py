@@ -227,7 +227,7 @@ def by_rare_shingles(crowd: DataFrame, rows: DataFrame, percent: int) -> DataFra
     alone = F.col("n_shingles") - F.size("shared")
     probe = F.col("n_shingles") - F.expr(f"({percent} * n_shingles + 99) div 100") + 1 - alone
     index = F.col("n_shingles") - F.expr(f"({2 * percent} * n_shingles + {99 + percent}) div {100 + percent}") + 1 - alone
-    rare = lists.withColumns({"probe": probe.cast("int"), "index": index.cast("int")}).where("probe > 0").withColumn("shared", F.expr("slice(shared, 1, probe)"))
+    rare = lists.withColumns({"probe": probe.cast("int"), "index": index.cast("int")}).where("probe > 0").withColumn("shared", F.expr("slice(shared, 1, greatest(probe, 0))"))
     rare = common.written(rare.select("__rid", "n_shingles", "comp", "index", F.posexplode("shared").alias("pos", "s")).select("__rid", "n_shingles", "comp", F.expr("pos < index").alias("indexed"), "s.token"), "rare")
     left = rare.select("token", F.col("__rid").alias("u"), F.col("n_shingles").alias("other"), F.col("comp").alias("comp_u"))
     pairs = left.join(rare.where("indexed"), "token").where(f"u <> __rid AND comp_u <> comp AND n_shingles <= other AND n_shingles * 100 >= {percent} * other")
