@@ -57,7 +57,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.digest(common.documents(spark, sf_dir))
+    return telephony.digest(common.documents(spark, sf_dir), like="lang")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

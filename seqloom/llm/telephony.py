@@ -10,10 +10,11 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,6 +23,8 @@ PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 0x11
 NAMES = {PCM: "pcm", ALAW: "alaw", MULAW: "mulaw", ADPCM: "ima_adpcm"}
 BLOCK = 64  # bytes of an ADPCM block: 4 of header, 60 of two samples each
 PER_BLOCK = 1 + 2 * (BLOCK - 4)
+#: Parquet's own compression of the stored tables, lossless: the zstd levels of the files and of their PCM, and the bytes of a page, within which repeats are found.
+MEDIA_LEVEL, PCM_LEVEL, PAGE = 12, 13, 64 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -149,10 +152,32 @@ def decode(df: DataFrame, media_col: str = "media", out_col: str = "pcm", rate:
     return common.in_arrow(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", `{out_col}` binary")
 
 
-def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+@contextmanager
+def compressed(spark: SparkSession, level: int) -> Iterator[None]:
+    """Parquet files written within are compressed by zstd in large pages; the session's settings come back afterwards."""
+    conf = {"spark.sql.parquet.compression.codec": "zstd", "parquet.compression.codec.zstd.level": str(level), "parquet.page.size": str(PAGE)}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def codec_of(text: Column) -> Column:
+    """0, 1 or 2, as pack picks the codec."""
+    raw = F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+    n = F.octet_length(raw)
+    return F.crc32(F.concat(raw, F.repeat(F.lit("\0"), F.when(n == 0, BLOCK).otherwise(F.pmod(-n, F.lit(BLOCK)))).cast("binary"))) % 3
+
+
+def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: str | None = None) -> DataFrame:
     """(id_col, n_bytes long, media binary): each whole text's UTF-8 bytes as the sample data of a telephony WAV file.
 
     Null counts as empty. Bytes 0 fill it up to a positive multiple of 64. The bytes' CRC picks the codec, so equal texts give equal files.
+    Within a partition files stand by column like (say, the language), codec and text, as what is alike compresses better side by side.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +190,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 files.append(wav((MULAW, ALAW, ADPCM)[zlib.crc32(data) % 3], data))
             yield pa.RecordBatch.from_arrays([common.column(b, id_col), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], [id_col, "n_bytes", "media"])
 
-    rows = df.select(id_col, F.col(text_col).cast("string").alias("__text"))
+    order = [F.col(f"`{like}`")] if like else []
+    rows = df.sortWithinPartitions(*order, codec_of(F.col(text_col)), F.col(text_col)).select(id_col, F.col(text_col).cast("string").alias("__text"))
     return common.in_arrow(rows, run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_bytes long, media binary")
 
 
@@ -202,6 +228,10 @@ def features(stored: DataFrame) -> DataFrame:
     return common.in_arrow(stored, run, ", ".join(f"`{c}` {t}" for c, t in stored.dtypes[:-2]) + ", feature string")
 
 
-def digest(df: DataFrame) -> DataFrame:
+def digest(df: DataFrame, like: str | None = None) -> DataFrame:
     """Stores every text as audio, then its resampled PCM, in tables of the shared folder and describes what is read back from them."""
-    return features(common.written(described(common.written(pack(df), "media")), "pcm"))
+    with compressed(df.sparkSession, MEDIA_LEVEL):
+        media = common.written(pack(df, like=like), "media")
+    with compressed(df.sparkSession, PCM_LEVEL):
+        pcm = common.written(described(media), "pcm")
+    return features(pcm)

@@ -1,6 +1,7 @@
 """Sharding, mixing, audio, toxicity, HTML and the pipeline, with awkward rows."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -157,6 +158,27 @@ def test_query_stores_pcm(docs, monkeypatch):
     assert len(got) == len(ROWS) and all(f.endswith(f" crc={crc[m]:08x}") for m, f in got)
 
 
+def test_stored_audio_is_compressed(spark, tmp_path, monkeypatch):
+    """Files and PCM together take little more than the texts' own Parquet table (they took over three times that), every row is there, and the session keeps its settings."""
+    rng = random.Random(4)
+    words = {x: ["".join(rng.choices(s, k=rng.randint(1, 4))) for _ in range(3000)] for x, s in (("en", ["th", "er", "on", "an"]), ("de", ["sch", "ei", "un", "ö"]))}
+    rows = [(i, " ".join(rng.choices(words[x], k=rng.randint(1, 600))), x) for i in range(900) for x in [rng.choice(["en", "de"])]] + [(900, None, None), (901, "", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).write.parquet(at := f"{tmp_path}/docs")
+    docs = spark.read.parquet(at)
+    size = lambda files: sum(os.path.getsize(common.local_path(f)) for f in files)
+    tables = {}
+    written = common.written
+    monkeypatch.setattr(common, "written", lambda df, name: tables.setdefault(name, written(df, name)))
+    settings = ("spark.sql.parquet.compression.codec", "parquet.page.size", "parquet.compression.codec.zstd.level")
+    before = [spark.conf.get(k, None) for k in settings]
+    got = telephony.digest(docs, like="lang")
+    assert [spark.conf.get(k, None) for k in settings] == before
+    assert size(tables["media"].inputFiles()) + size(tables["pcm"].inputFiles()) < 2 * size(docs.inputFiles())
+    assert {r["doc_id"]: r["payload_sha256"] for r in got.collect()} == {i: hashlib.sha256(data).hexdigest() for i, t, _ in rows for raw in [(t or "").encode()] for data in [raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))]}
+    codecs = {r["doc_id"]: r["codec"] for r in tables["pcm"].select("doc_id", "codec").collect()}
+    assert all(("mulaw", "alaw", "ima_adpcm")[r["k"]] == codecs[r["doc_id"]] for r in docs.select("doc_id", telephony.codec_of(docs["text"]).alias("k")).collect())
+
+
 INSULTS = ["idiot", "moron", "scum"]
 
 
