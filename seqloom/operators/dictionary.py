@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..plans.patex import Item, PatExError
-from ..session import join_items, small, written
+from ..session import small, written
+from . import chunks
 
 SCHEMA = "gid int, sid string, dfreq bigint, cfreq bigint, parents array<int>, properties map<string,string>, fid int"
 MAX_DEPTH = 1000
@@ -59,10 +64,11 @@ class Dictionary:
         return Dictionary(spark.createDataFrame([(g, s, 0, 0, [gid[p] for p in ps], {}, None) for g, s, ps in rows], SCHEMA))
 
     @staticmethod
-    def from_data(sequences: DataFrame, parents: DataFrame | None = None, items: str = "items", weight: str | None = "weight") -> Dictionary:
+    def from_data(sequences: DataFrame, parents: DataFrame | None = None, items: str = "items", weight: str | None = "weight", seen: DataFrame | None = None) -> Dictionary:
         """From rows with an array of sids, and edges (child, parent) of sids that may name further items. Whole-number sids keep
-        their number as gid; the others follow in alphabetical order. Frequencies include those of descendants."""
-        seen = sequences.select(F.explode(items).alias("sid"))
+        their number as gid; the others follow in alphabetical order. seen: (sid) of the items of the rows, where these are known."""
+        if seen is None:
+            seen = sequences.select(F.explode(items).alias("sid"))
         if parents is not None:
             seen = seen.unionByName(parents.select(F.col("child").alias("sid"))).unionByName(parents.select(F.col("parent").alias("sid")))
         sids = written(seen.where("sid IS NOT NULL").distinct(), "sids")
@@ -235,12 +241,11 @@ class Dictionary:
 
     def item_freqs(self, sequences: DataFrame) -> DataFrame:
         """(gid, dfreq, cfreq) of rows (items array<int>, weight): weights of the sequences that hold an item or a descendant, and of its
-        occurrences. Occurrences are counted within each sequence first, so no row is sent an item at a time twice."""
-        # numbered before the arrays are taken apart
-        each = sequences.select(F.monotonically_increasing_id().alias("__s"), "weight", "items").select("__s", "weight", F.explode("items").alias("gid"))
-        up = self.closure().select("gid", "anc")
-        per = each.join(small(up), "gid").groupBy("__s", "anc").agg(F.count("*").alias("n"), F.first("weight").alias("weight"))
-        return per.groupBy(F.col("anc").alias("gid")).agg(F.sum("weight").alias("dfreq"), F.sum(F.col("n") * F.col("weight")).alias("cfreq"))
+        occurrences."""
+        up = self.closure()
+        if up.where("depth > 0").isEmpty():
+            return chunks.frequencies(sequences, None).join(small(self.items.select("gid"), self.size()), "gid", "left_semi")
+        return chunks.frequencies(sequences, up)
 
     def recompute(self, sequences: DataFrame) -> Dictionary:
         """Frequencies as in the sequences, 0 for unseen items, and new fids."""
@@ -302,10 +307,11 @@ class Dictionary:
         """Items by fid, gid or sid."""
         return self.items.where(F.col(column).isin(list(values)))
 
-    def translate(self, df: DataFrame, column: str, to: str, of: str = "gid", key: str = "__row", unknown: str = "error") -> DataFrame:
+    def translate(self, df: DataFrame, column: str, to: str, of: str = "gid", unknown: str = "error", cut: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
         """df with an array column of one kind of identifiers replaced by another kind's. Unknown ones are an error, dropped, or -1.
 
-        Where ids are gids that fit an array, or there are few items, a table goes to all executors; else items are joined.
+        Where ids are gids that fit an array, or there are few items, a table goes to all executors; else the distinct items of chunks
+        are joined. cut: df in chunks, where that was made before.
         """
         kind = dict(self.items.dtypes)[to]
         if unknown == "error":
@@ -326,12 +332,23 @@ class Dictionary:
             else:
                 found = F.transform(column, lambda x: F.coalesce(look(x), F.lit(-1).cast(kind)))
             return df.withColumn(column, found).drop("__at")
-        rows = written(df.withColumn(key, F.monotonically_increasing_id()), "rows")
-        each = join_items(rows.select(key, F.posexplode(column).alias("__pos", of)), self.items.select(of, F.col(to).alias("__to")), of, "__to")
-        value = F.coalesce("__to", missing(F.col(of))) if unknown == "error" else F.coalesce("__to", F.lit(-1).cast(kind)) if unknown != "drop" else F.col("__to")
-        lists = each.withColumn("__to", value).where("__to IS NOT NULL").groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__to"))), lambda x: x["__to"]).alias("__list"))
-        out = rows.join(lists, key, "left")
-        return out.withColumn(column, F.coalesce("__list", F.array().cast(f"array<{kind}>"))).drop(key, "__list").select(*df.columns)
+        target = self.items.select(F.col(of).alias("key"), F.col(to).alias("__to"))
+
+        def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+            values, sizes = chunks.flat(rows.column(column))
+            got = found.column("__to").combine_chunks().take(pc.index_in(values, found.column("key").combine_chunks()))
+            lost = pc.is_null(got)
+            if unknown == "error" and got.null_count:
+                raise DictionaryError(f"unknown {of} {values.filter(lost)[0].as_py()}")
+            if unknown == "drop":
+                row = np.repeat(np.arange(len(sizes)), sizes)[~lost.to_numpy(zero_copy_only=False)]
+                got, sizes = got.drop_null(), np.bincount(row, minlength=len(sizes))
+            elif unknown != "error":
+                got = pc.fill_null(got, pa.scalar(-1).cast(got.type))
+            return rows.set_column(rows.column_names.index(column), column, chunks.lists(got, sizes))
+
+        schema = StructType([StructField(f.name, ArrayType(self.items.schema[to].dataType) if f.name == column else f.dataType) for f in df.schema])
+        return chunks.looked_up(cut or chunks.cut(df, column), target, run, schema)
 
     # storing
 

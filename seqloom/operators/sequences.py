@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans import patex as language
 from ..plans.compiled import compile_
 from ..session import ship, written
-from . import frontier, growth, kernel, native, traditional
+from . import chunks, frontier, growth, kernel, native, traditional
 from .dictionary import Dictionary
 
 ALGORITHMS = ("auto", "native", "frontier", "kernel", "growth")
@@ -55,12 +55,13 @@ class Sequences:
         """From an array of sids. Without a dictionary one is built from the data and parents (child, parent), and counted."""
         w = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
         rows = df.select((F.col(key) if key else F.monotonically_increasing_id()).cast("bigint").alias("seq_id"), F.coalesce(items, F.array().cast("array<string>")).alias("items"), w.cast("bigint").alias("weight"))
-        if key is None or dictionary is None:
+        if dictionary is None:
+            cut = chunks.cut(rows, "items")
+            d = Dictionary.from_data(cut[0], parents, seen=cut[1].select(F.col("key").alias("sid")))
+            return Sequences(written(d.translate(cut[0].drop("__chunk"), "items", "gid", "sid", unknown=unknown, cut=cut), "sequences"), d).recompute_dictionary()
+        if key is None:
             rows = written(rows, "sequences")
-        build = dictionary is None
-        d = Dictionary.from_data(rows, parents) if build else dictionary
-        out = Sequences(d.translate(rows, "items", "gid", "sid", unknown=unknown), d)
-        return out.recompute_dictionary() if build else out
+        return Sequences(dictionary.translate(rows, "items", "gid", "sid", unknown=unknown), dictionary)
 
     @staticmethod
     def from_events(df: DataFrame, key: str, order: list[str], item: str, **options) -> Sequences:

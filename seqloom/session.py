@@ -64,8 +64,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """A written or cheap narrow table, marked for broadcast if its size allows that; else a join shuffles it."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+    """A written or cheap narrow table, marked for broadcast if its rows allow that; else a join shuffles and sorts it, whatever the size
+    of its files makes Spark think: a written table takes up to a hundred times as much memory as disk."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df.hint("merge")
 
 
 #: An item that is in over this share of all places is sent to every task instead of one.
