@@ -176,10 +176,8 @@ class Sequences:
             if gaps:
                 raise ValueError("pattern expressions don't know compressed gaps")
             out = self.mine(language.traditional(max_gap, max_length, generalise), min_support)
-        elif algorithm == "growth":
-            out = Patterns(traditional.prefix_growth(self.rows, self.dictionary, min_support, max_gap, max_length, generalise, gaps), self.dictionary)
-        elif algorithm == "lists":
-            out = Patterns(traditional.id_lists(self.rows, self.dictionary, min_support, max_gap, max_length, generalise, gaps), self.dictionary)
+        elif algorithm in ("growth", "lists"):
+            out = Patterns(traditional.mine(self.rows, self.dictionary, min_support, max_gap, max_length, generalise, gaps, algorithm == "lists"), self.dictionary)
         else:
             raise ValueError("algorithm must be growth, lists or expression")
         if begin is None and end is None:

@@ -56,3 +56,43 @@ def test_frequencies_are_summed_before_they_are_sent(spark, long, monkeypatch):
         monkeypatch.setattr(chunks, "SHARED", 0)
         monkeypatch.setattr(chunks, "CHUNK", 3000)
         assert got() == want
+
+
+@pytest.mark.parametrize("algorithm", ["growth", "lists"])
+def test_levels_write_rows_of_sequences_and_patterns(long, algorithm, monkeypatch):
+    """Not a row for each place or pattern's end, which no size of a file tells."""
+    s, kept = long[0], []
+    monkeypatch.setattr(traditional, "written", lambda df, name, f=traditional.written: kept.append(f(df, name)) or kept[-1])
+    found = s.mine_traditional(600, 1, 3, True, algorithm).found.count()
+    assert found > 100 and sum(df.count() for df in kept) <= s.rows.count() + found
+
+
+@pytest.mark.parametrize("algorithm", ["growth", "lists"])
+@pytest.mark.parametrize("gaps", [False, True])
+def test_pieces_and_joins_give_the_same(spark, algorithm, gaps, monkeypatch):
+    rnd = random.Random(3)
+    d = Dictionary.of(spark, [("a", []), ("b", ["a"]), ("c", ["a"]), ("d", [])])
+    rows = [(i, [rnd.choice([1, 2, 3, 4, 4, -1 - i % 3 if gaps else 2]) for _ in range(rnd.randrange(9))], i % 3 + 1) for i in range(60)]
+    up, want = {1: {1}, 2: {1, 2}, 3: {1, 3}, 4: {4}}, {}
+    for _, items, w in rows:
+        at, spots, mine = 0, [], set()
+        for x in items:
+            spots += [(at, x)] if x > 0 else []
+            at += 1 if x > 0 else -x
+        ends = {(p, (g,)) for p, x in spots for g in up[x]}
+        for _ in range(4):
+            mine |= {q for _, q in ends}
+            ends = {(p, (*q, g)) for e, q in ends for p, x in spots if e < p <= e + 3 for g in up[x]}
+        for q in mine:
+            want[" ".join(map(str, q))] = want.get(" ".join(map(str, q)), 0) + w
+    s = Sequences(spark.createDataFrame(rows, "seq_id long, items array<int>, weight long").localCheckpoint(), d)
+    run = lambda: {r["pattern"]: r["support"] for r in s.mine_traditional(9, 2, 4, True, algorithm, gaps=gaps).found.collect()}
+    want = {k: v for k, v in want.items() if v >= 9}
+    assert len(want) > 50 and run() == want
+    monkeypatch.setattr(chunks, "CHUNK", 20)
+    monkeypatch.setattr(traditional, "HELD", 50)
+    assert run() == want
+    monkeypatch.setattr(chunks, "SHARED", 0)
+    assert run() == want
+    monkeypatch.setattr(traditional, "SHARED", 0)
+    assert run() == want
