@@ -62,6 +62,24 @@ def found_in(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == x
 
 
+def distinct(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs, where b is below n."""
+    both = np.unique(a * n + b)
+    return both // n, both % n
+
+
+def halved(rows: pa.Table, run: Callable[[pa.Table], tuple | None]) -> list[tuple]:
+    """What run gives for the rows, or for halves, quarters, ... of them where it gives None."""
+    todo, out = [rows], []
+    while todo:
+        t = todo.pop()
+        if (found := run(t)) is None:
+            todo += [t.slice(0, t.num_rows // 2), t.slice(t.num_rows // 2)]
+        else:
+            out.append(found)
+    return out
+
+
 class Lists:
     """A list of numbers for each key."""
 

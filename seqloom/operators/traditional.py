@@ -104,7 +104,7 @@ def _longer(rows: pa.Table, levels: list[Level], gap: int, by_lists: bool) -> tu
     row, pos = np.repeat(np.arange(len(sizes)), sizes), chunks.numbers(values)
     far = int(pos.max()) + gap + 2
     places, spot = np.unique(row * far + pos, return_inverse=True)
-    spot, item = _distinct(spot, chunks.numbers(chunks.flat(rows.column("item"))[0]), n)
+    spot, item = chunks.distinct(spot, chunks.numbers(chunks.flat(rows.column("item"))[0]), n)
     now, pattern = spot, item
     for k, level in enumerate(levels):
         if by_lists:
@@ -128,33 +128,20 @@ def _longer(rows: pa.Table, levels: list[Level], gap: int, by_lists: bool) -> tu
         if k + 1 == len(levels):
             break
         at, ok = chunks.found_in(levels[k + 1].keys, key)
-        now, pattern = _distinct(to[ok], at[ok], len(levels[k + 1].keys))
+        now, pattern = chunks.distinct(to[ok], at[ok], len(levels[k + 1].keys))
     kinds, which = np.unique(key, return_inverse=True)
-    which, row = _distinct(which, places[to] // far, len(sizes))
+    which, row = chunks.distinct(which, places[to] // far, len(sizes))
     which, total = chunks.summed(which, chunks.numbers(rows.column("weight"))[row])
     return kinds[which], total
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs, where b is below n."""
-    both = np.unique(a * n + b)
-    return both // n, both % n
-
-
 def _supports(places: DataFrame, levels: list[Level], gap: int, by_lists: bool) -> DataFrame:
     """(key, support) of the patterns of the next length, summed for pieces."""
     shipped = places.sparkSession.sparkContext.broadcast(levels)
 
     def run(t: pa.Table) -> pa.Table:
-        todo, out = [t], []
-        while todo:
-            t = todo.pop()
-            found = _longer(t, shipped.value, gap, by_lists)
-            if found is None:
-                todo += [t.slice(0, t.num_rows // 2), t.slice(t.num_rows // 2)]
-            else:
-                out.append(pa.table({"key": pa.array(found[0], pa.int64()), "support": pa.array(found[1], pa.int64())}))
-        return pa.concat_tables(out)
+        found = chunks.halved(t, lambda part: _longer(part, shipped.value, gap, by_lists))
+        return pa.concat_tables([pa.table({"key": pa.array(key, pa.int64()), "support": pa.array(total, pa.int64())}) for key, total in found])
 
     return chunks.in_pieces(places, "pos", run, "key long, support long")
 

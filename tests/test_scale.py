@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seqloom.operators import chunks, traditional
+from seqloom.operators import chunks, growth, traditional
 from seqloom.operators import dictionary as dictionary_module
 from seqloom.operators.dictionary import Dictionary
 from seqloom.operators.sequences import Sequences
@@ -96,3 +96,19 @@ def test_pieces_and_joins_give_the_same(spark, algorithm, gaps, monkeypatch):
     assert run() == want
     monkeypatch.setattr(traditional, "SHARED", 0)
     assert run() == want
+
+
+def test_growth_writes_rows_of_sequences_and_prefixes(long, monkeypatch):
+    s, kept = long[0], []
+    monkeypatch.setattr(growth, "written", lambda df, name, f=growth.written: kept.append(f(df, name)) or kept[-1])
+    mine = lambda: {r["pattern"]: r["support"] for r in s.mine("(.^)[.(.^)|(.)]", 300, "growth").found.collect()}
+    got = mine()
+    held = s.mine("(.^).{1,2}", 300).found.count()
+    assert len(got) > 100 and sum(df.count() for df in kept) <= s.rows.count() + len(got) + held
+    want = {r["pattern"]: r["support"] for r in s.mine("(.^)[.(.^)|(.)]", 300, "kernel").found.collect()}
+    assert got == want
+    monkeypatch.setattr(chunks, "CHUNK", 300)
+    monkeypatch.setattr(growth, "HELD", 500)
+    assert mine() == want
+    monkeypatch.setattr(growth, "SHARED", 0)
+    assert mine() == want
