@@ -70,6 +70,7 @@ class Dictionary:
         if seen is None:
             seen = sequences.select(F.explode(items).alias("sid"))
         if parents is not None:
+            parents = written(parents.select("child", "parent").distinct(), "links")
             seen = seen.unionByName(parents.select(F.col("child").alias("sid"))).unionByName(parents.select(F.col("parent").alias("sid")))
         sids = written(seen.where("sid IS NOT NULL").distinct(), "sids")
         number = F.when(F.col("sid").rlike(r"^(0|[1-9]\d{0,8})$"), F.col("sid").cast("int"))
@@ -80,7 +81,7 @@ class Dictionary:
         links = None
         if parents is not None:
             up = ids.select(F.col("sid").alias("parent"), F.col("gid").alias("p"))
-            links = parents.distinct().join(small(up), "parent").groupBy(F.col("child").alias("sid")).agg(F.sort_array(F.collect_set("p")).alias("parents"))
+            links = parents.join(small(up), "parent").groupBy(F.col("child").alias("sid")).agg(F.sort_array(F.collect_set("p")).alias("parents"))
         table = ids if links is None else ids.join(links, "sid", "left")
         if links is None:
             table = table.withColumn("parents", F.lit(None).cast("array<int>"))

@@ -68,8 +68,11 @@ def movies(rated: DataFrame, titles: DataFrame, deep: bool = False) -> tuple[Dat
     out = gathered(rows, "userId", ["date", "movieId", "item"])
     if not deep:
         return out, None
-    rows = rows.withColumn("stars", F.concat(F.col("rating").cast("string"), F.lit("stars")))
-    return out, edges(rows, "item", "movie").unionByName(edges(rows, "item", "stars")).unionByName(edges(rows, "movie", "year")).distinct()
+    # the links follow from the distinct ratings of movies, so that no names are made or sent for each rating
+    seen = rated.select("movieId", "rating").distinct().join(t, "movieId")
+    item, stars = F.concat_ws("@", "movie", F.col("rating").cast("string")), F.concat(F.col("rating").cast("string"), F.lit("stars"))
+    pairs = [F.struct(a.alias("child"), b.alias("parent")) for a, b in ((item, F.col("movie")), (item, stars), (F.col("movie"), F.col("year")))]
+    return out, edges(seen.select(F.explode(F.array(*pairs)).alias("e")).select("e.child", "e.parent"), "child", "parent")
 
 
 def letters(df: DataFrame, column: str = "value") -> DataFrame:

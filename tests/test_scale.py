@@ -8,6 +8,7 @@ from seqloom.operators import chunks, growth, traditional
 from seqloom.operators import dictionary as dictionary_module
 from seqloom.operators.dictionary import Dictionary
 from seqloom.operators.sequences import Sequences
+from seqloom.sources import etl
 
 KINDS = 300
 
@@ -112,3 +113,20 @@ def test_growth_writes_rows_of_sequences_and_prefixes(long, monkeypatch):
     assert mine() == want
     monkeypatch.setattr(growth, "SHARED", 0)
     assert mine() == want
+
+
+def test_translation_sends_sequences_as_they_are(spark, long, monkeypatch):
+    s, rows, _ = long
+    monkeypatch.setattr(dictionary_module, "MAPPED", 0)
+    monkeypatch.setattr(dictionary_module, "PLACES", 0)
+    got = []
+    assert shuffled(spark, lambda: got.extend(s.to_sids().collect())) < 400_000  # 100,000 places
+    assert sorted(map(tuple, (r["items"] for r in got))) == sorted(tuple(items) for _, items, _ in rows)
+
+
+def test_links_of_movies_are_made_of_distinct_ratings(spark):
+    rated = spark.createDataFrame([("u", "2001-01-01", 1, 5), ("v", "2001-01-01", 1, 5), ("v", "2001-01-02", 2, None), ("w", "2001-01-02", 3, 4)], "userId string, date string, movieId int, rating int")
+    titles = spark.createDataFrame([(1, 1999, "T"), (2, 2000, "U"), (3, None, "V")], "movieId int, year int, title string")
+    _, links = etl.movies(rated, titles, True)
+    assert sorted(map(tuple, links.collect())) == [("T#1999#1", "1999"), ("T#1999#1@5", "5stars"), ("T#1999#1@5", "T#1999#1"), ("U#2000#2", "2000"), ("V#3@4", "4stars"), ("V#3@4", "V#3")]
+    assert links._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
